@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, media, quality, repeats
+from strandloom.llm import bpe, chat, jaccard, media, quality, repeats
 from strandloom.runtime import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles are 85 % alike."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the words of repeated 35-word windows."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op4_media_columns": op4_media_columns,
         "op5_bpe": op5_bpe,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
