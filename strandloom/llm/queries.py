@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, jaccard, media, quality, repeats
+from strandloom.llm import bpe, chat, jaccard, language, media, quality, repeats, toxicity
 from strandloom.runtime import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,18 @@ FROM e GROUP BY conv_id
 """
 
 
+def _fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from rows outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    models = language.train_languages(docs.where(_fold(4) != 2))
+    found = language.identify_languages(docs, models, reject=False)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stream of MPEG audio frames, scanned and read back."""
     return media.payload_digests(media.text_as_media(table(spark, sf_dir, "documents")))
@@ -62,6 +74,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text, learned from labelled rows outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train_toxicity(docs, labels.where(_fold(5) != 0).select("doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, machine).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles are 85 % alike."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -80,8 +99,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_language_id": op3_language_id,
         "op4_media_columns": op4_media_columns,
         "op5_bpe": op5_bpe,
+        "op7_toxicity": op7_toxicity,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
