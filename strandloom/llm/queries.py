@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, jaccard, language, media, quality, repeats, toxicity
+from strandloom.llm import bpe, chat, jaccard, language, media, mixing, pii, quality, repeats, toxicity
 from strandloom.runtime import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its calibrated probability and whether it is drawn."""
+    return mixing.draw(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "drawn")
+
+
 def _fold(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
@@ -74,6 +79,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans and those the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_pii(docs))
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.span_string(pii.span_list()), 256).alias("base_sha256"),
+        pii.span_string(pii.span_list(added=True)).alias("spans"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every text, learned from labelled rows outside fold 0 of 5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -99,9 +116,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op4_media_columns": op4_media_columns,
         "op5_bpe": op5_bpe,
+        "op6_pii": op6_pii,
         "op7_toxicity": op7_toxicity,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
@@ -110,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_mixing": mixing.draw_sql()}
