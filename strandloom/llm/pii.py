@@ -37,7 +37,7 @@ PATTERNS = {
     "card": r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?(?![0-9]|[\x20-][0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![0-9])\(?[0-9][0-9\x20().-]{5,28}[0-9](?![0-9])",
+    "number": r"(?<![A-Za-z0-9_])\(?[0-9][0-9\x20().-]{5,28}[0-9](?![A-Za-z0-9_])",
     "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,64}(?![A-Za-z0-9_])",
 }
 _NEEDS = {"email": "@", "phone": "+"}
