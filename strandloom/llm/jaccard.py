@@ -12,7 +12,9 @@ and never pairs all documents of a group:
 3. Index lists over prefixes (rarest shingles first) hold one block for each
    leader's members, with the block's least position and range of sizes. Lists
    that hold one component are skipped; blocks pair only if sizes and positions
-   still allow the overlap and their components differ.
+   still allow the overlap and their components differ. A sketch of bit parities,
+   whose Hamming distance never exceeds the sets' symmetric difference, rules out
+   most of the rest before any set is moved.
 4. Answers are derived from the leaders' ones: Jaccard distance is a metric, so
    the distance of two leaders bounds those of their members. Leader pairs too
    far apart are skipped whole; else members of one side are held against the
@@ -32,6 +34,7 @@ from strandloom.operators.components import connected_components
 from strandloom.runtime import checkpoint, ship_package
 
 N_KEYS = 3
+SKETCH_BITS = 512
 _SHORT = U64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -60,7 +63,7 @@ def _least_shared(n: int, percent: int) -> int:
 
 
 def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix, keys."""
+    """doc_id, n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix, keys, sketch."""
     rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text"), ["doc_id"])
     bits = hc.bucket_bits(total // 6)
 
@@ -73,20 +76,21 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
         flat = np.concatenate([np.zeros(0, dtype=U64), *every])
         _, where, _ = hc.distinct(flat, bits, False)
         levels = hc.read_levels(answer)[where] if len(flat) else np.zeros(0, dtype=np.uint8)
-        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "keys")}
+        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "keys", "sketch")}
         at = 0
         for s in every:
             n, lev = len(s), levels[at : at + len(s)]
             at += n
             common = lev > 0
-            row = (n, None, None, None, None)
+            row = (n, None, None, None, None, None)
             if n and int(common.sum()) >= _least_shared(n, percent):
                 node = int(mix(np.array([mix(s).sum(dtype=U64) + U64(n)], dtype=U64))[0].view(np.int64))
                 order = np.lexsort((s, lev))[: n - _least_shared(n, percent) + 1]
                 prefix = [(int(s[i].view(np.int64)), k) for k, i in enumerate(order.tolist()) if common[i]]
                 shared = s[common]
                 keys = [int(mix(shared * U64(2 * k + 3)).min().view(np.int64)) for k in range(N_KEYS)]
-                row = (n, node, shared.tobytes(), prefix, keys)
+                odd = np.bincount((mix(s) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1
+                row = (n, node, shared.tobytes(), prefix, keys, np.packbits(odd).view(np.int64))
             for values, x in zip(out.values(), row):
                 values.append(x)
         ids = pa.chunked_array([p.column("doc_id") for p in parts], type=group.schema.field("doc_id").type)
@@ -100,12 +104,13 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
                 "shared": pa.array(out["shared"], pa.binary()),
                 "prefix": pa.array(as_dicts, place),
                 "keys": pa.array(out["keys"], pa.list_(pa.int64())),
+                "sketch": pa.array(out["sketch"], pa.list_(pa.int64())),
             }
         )
 
     levels = hc.answers(hc.send_hashes(rows, hashes, bits), exact=False)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, node long, shared binary, prefix array<struct<gram:long,pos:int>>, keys array<long>"
+    schema = f"doc_id {kind}, n_shingles long, node long, shared binary, prefix array<struct<gram:long,pos:int>>, keys array<long>, sketch array<long>"
     return rows.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(sets, schema)
 
 
@@ -136,6 +141,12 @@ def _distance() -> Column:
     return 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
 
 
+def _may_be_within(a: str, b: str, limit: Column) -> Column:
+    """Whether the sketches of a and b allow a Jaccard distance up to ``limit``."""
+    h = F.aggregate(F.zip_with(f"{a}sketch", f"{b}sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return 2 * h <= (limit + 1e-9) * (F.col(f"{a}n") + F.col(f"{b}n") + h)
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
@@ -148,7 +159,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     rows = checkpoint(document_sets(docs, key, size, percent))
     far, slack = 1 - percent / 100, 1e-9
     linking = rows.where("node IS NOT NULL")
-    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "keys")).alias("s")).select("node", "n", "s.*"))
+    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "keys", "sketch")).alias("s")).select("node", "n", "s.*"))
 
     # 2. leaders
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -158,44 +169,48 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     first = connected_components(found)
     leaders = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.col("a").alias("node"), F.col("x.b").alias("leader"), F.col("x.d").alias("d"))
     member = checkpoint(
-        nodes.select("node", "n")
+        nodes.select("node", "n", "sketch")
         .join(leaders, "node", "left")
         .join(first, "node", "left")
-        .select("node", "n", F.coalesce("leader", "node").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
+        .select("node", "n", "sketch", F.coalesce("leader", "node").alias("leader"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     )
 
     # 3. index lists of blocks
-    posts = nodes.select("node", F.explode("prefix").alias("p")).select("node", "p.gram", "p.pos").join(member, "node")
+    posts = nodes.select("node", F.explode("prefix").alias("p")).select("node", "p.gram", "p.pos").join(member.drop("sketch"), "node")
     blocks = posts.groupBy("gram", "leader", "component").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")
     )
     mixed = blocks.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("gram")
-    blocks = checkpoint(blocks.join(mixed, "gram", "left_semi"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    close = x.join(
-        y,
+    reach = member.groupBy("leader").agg(F.max("d").alias("r")).join(nodes.select(F.col("node").alias("leader"), "n", "sketch"), "leader")
+    reach = checkpoint(reach)
+    blocks = checkpoint(blocks.join(mixed, "gram", "left_semi").join(reach, "leader"))
+    close = blocks.alias("x").join(
+        blocks.alias("y"),
         F.expr(
             f"x.gram = y.gram AND x.leader < y.leader AND x.component <> y.component"
             f" AND 100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo"
             f" AND {100 + percent} * least(x.left, y.left) >= {percent} * (x.lo + y.lo)"
-        ),
+        )
+        & _may_be_within("x.", "y.", far + F.col("x.r") + F.col("y.r")),
     )
     leader_pairs = checkpoint(close.select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b")).distinct())
 
     # 4. answers from the leaders' ones
     plain = nodes.select("node", "n", "shared")
-    reach = member.groupBy("leader").agg(F.max("d").alias("r"))
     at = overlaps(leader_pairs, plain).select("a", "b", _links(percent).alias("link"), _distance().alias("d"))
-    at = at.join(reach.select(F.col("leader").alias("a"), F.col("r").alias("ra")), "a").join(reach.select(F.col("leader").alias("b"), F.col("r").alias("rb")), "b")
+    at = at.join(reach.select(F.col("leader").alias("a"), F.col("r").alias("ra")), "a")
+    at = at.join(reach.select(F.col("leader").alias("b"), F.col("r").alias("rb"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
     at = checkpoint(at.where(F.col("link") | (F.col("d") <= far + F.col("ra") + F.col("rb") + slack)))
-    near = at.where("NOT link AND ra + rb > 0").select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("d").alias("dl"), "rb")
-    one = near.join(member.select(F.col("leader").alias("la"), F.col("node").alias("a"), F.col("d").alias("da")), "la")
-    one = one.where(F.abs(F.col("dl") - F.col("da")) <= far + F.col("rb") + slack).select("a", F.col("lb").alias("b"), "rb").distinct()
-    one = overlaps(one, plain).select("a", "b", "rb", _links(percent).alias("link"), _distance().alias("d"))
+    near = at.where("NOT link AND ra + rb > 0").withColumnsRenamed({"a": "la", "d": "dl"}).drop("link")
+    ours = member.select(F.col("leader").alias("ma"), F.col("node").alias("a"), F.col("d").alias("da"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    in_reach = (F.abs(F.col("dl") - F.col("da")) <= far + F.col("rb") + slack) & _may_be_within("a_", "b_", far + F.col("rb"))
+    one = near.join(ours, (F.col("la") == F.col("ma")) & in_reach).select("a", "b", "rb").distinct()
+    one = overlaps(one, plain).select("a", "b", "rb", F.col("na").alias("a_n"), _links(percent).alias("link"), _distance().alias("d"))
     one = checkpoint(one.where(F.col("link") | (F.col("d") <= far + F.col("rb") + slack)))
-    two = one.where("NOT link AND rb > 0").select("a", F.col("b").alias("lb"), "d")
-    two = two.join(member.select(F.col("leader").alias("lb"), F.col("node").alias("b"), F.col("d").alias("db")), "lb")
-    two = two.where(F.abs(F.col("d") - F.col("db")) <= far + slack).where("a <> b").select("a", "b").distinct()
+    two = one.where("NOT link AND rb > 0").select("a", "a_n", F.col("b").alias("lb"), "d").join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch")), "a")
+    theirs = member.select(F.col("leader").alias("mb"), F.col("node").alias("b"), F.col("d").alias("db"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    in_reach = (F.abs(F.col("d") - F.col("db")) <= far + slack) & (F.col("a") != F.col("b")) & _may_be_within("a_", "b_", F.lit(far))
+    two = two.join(theirs, (F.col("lb") == F.col("mb")) & in_reach).select("a", "b").distinct()
     two = overlaps(two, plain).where(_links(percent)).select("a", "b")
     edges = found.select("a", "b").unionByName(at.where("link").select("a", "b")).unionByName(one.where("link").select("a", "b")).unionByName(two)
     components = connected_components(edges)
