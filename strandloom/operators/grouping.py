@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq as S
 from strandloom.operators import kmers as K
 from strandloom.operators.components import connected_components
+from strandloom.runtime import checkpoint
 
 
 def star_edges(reads: DataFrame, k: int, both_strands: bool = False) -> DataFrame:
@@ -111,14 +112,14 @@ def capped_union(rows: pd.DataFrame, max_size: int, fragment: int = 100) -> pd.D
     return out
 
 
-def capped_groups(reads: DataFrame, k: int, max_size: int, fragment: int = 100, both_strands: bool = True, mates: DataFrame | None = None) -> DataFrame:
+def capped_groups(reads: DataFrame, k: int, max_size: int, fragment: int = 100, both_strands: bool = True, mates: DataFrame | None = None, bundle: int = 20_000) -> DataFrame:
     """(read_id, group_id): components whose unions obey the size rule of ``capped_union``.
 
     A union never leaves an uncapped component, so components are independent and
-    run side by side. Within one the order of unions decides the result, so a
-    component is one task's work.
+    run side by side, small ones in bundles of about ``bundle`` reads. Within one the
+    order of unions decides the result, so a component is one task's work.
     """
-    comp = components(reads, k, both_strands, mates)
+    comp = checkpoint(components(reads, k, both_strands, mates))
     keep = K.right_maximal(reads, k).where("n >= 2").select("kmer")
     occ = K.occurrences(reads, k).select("read_id", "pos", "kmer")
     events = occ.join(keep, "kmer", "left_semi").select("read_id", "pos", "kmer", F.lit("kmer").alias("kind"))
@@ -130,10 +131,14 @@ def capped_groups(reads: DataFrame, k: int, max_size: int, fragment: int = 100,
         events = events.unionByName(meet.select(F.col("r").alias("read_id"), F.col("r2").alias("pos"), "kmer", F.lit("both").alias("kind")))
     if mates is not None:
         events = events.unionByName(mates.select(F.col("r1").alias("read_id"), F.lit(0).cast("long").alias("pos"), F.col("r2").cast("string").alias("kmer"), F.lit("mate").alias("kind")))
-    alone = reads.select("read_id", F.lit(-1).cast("long").alias("pos"), F.lit("").alias("kmer"), F.lit("self").alias("kind"))
-    work = events.unionByName(alone).join(comp, "read_id")
+    lone = sizes(comp).where("size = 1").select("comp")
+    comp = comp.join(lone, "comp", "left_anti").select("read_id", "comp")
+    own = comp.select("read_id", F.lit(-1).cast("long").alias("pos"), F.lit("").alias("kmer"), F.lit("self").alias("kind"))
+    n = max(1, -(-comp.count() // bundle))
+    work = events.unionByName(own).join(comp, "read_id").withColumn("bundle", F.pmod(F.xxhash64("comp"), F.lit(n)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return capped_union(part, max_size, fragment)
 
-    return work.groupBy("comp").applyInPandas(run, "read_id long, group_id long")
+    alone = lone.select(F.col("comp").alias("read_id"), F.col("comp").alias("group_id"))
+    return work.groupBy("bundle").applyInPandas(run, "read_id long, group_id long").unionByName(alone)

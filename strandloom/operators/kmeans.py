@@ -153,11 +153,11 @@ def best_of_restarts(points: DataFrame, k: int, restarts: int = 10, rounds: int
     return min(runs, key=lambda x: x[:2])[2]
 
 
-def adaptive(points: DataFrame, most: int = 10, least: int = 1, threshold: float = 0.94, restarts: int = 10, seed: int = 1) -> DataFrame:
+def adaptive(points: DataFrame, most: int = 10, least: int = 1, threshold: float = 0.94, restarts: int = 10, seed: int = 1, rounds: int = 200) -> DataFrame:
     """id and cluster with a number of clusters found by merging: restart with what is left until less than a tenth merges."""
     k = most
     while True:
-        got = best_of_restarts(points, k, restarts, seed=seed)
+        got = best_of_restarts(points, k, restarts, rounds, seed)
         stats = {r["cluster"]: r for r in distance_statistics(got.assignment).collect()}
         into = agglomerate(got.centres, {i: r["n"] for i, r in stats.items()}, {i: r["mean"] for i, r in stats.items()}, threshold, least)
         left = len(set(into.values()))

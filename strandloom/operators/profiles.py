@@ -35,8 +35,8 @@ def by_covered_positions(clusters: DataFrame, long_k: int = 16, short_k: int = 4
     good = _frequent(clusters, long_k, least).select("cluster_id", "kmer")
     starts = _windows(clusters, long_k).join(good, ["cluster_id", "kmer"], "left_semi")
     p = F.explode(F.sequence(F.lit(0), F.lit(long_k - short_k)))
-    inside = starts.select("cluster_id", "seq_no", (F.col("pos") + p).alias("at"), F.col("pos"), "kmer")
-    places = inside.select("cluster_id", "seq_no", "at", F.substring("kmer", (F.col("at") - F.col("pos") + 1).cast("int"), F.lit(short_k)).alias("kmer")).distinct()
+    inside = starts.select("cluster_id", "seq_no", "pos", "kmer", p.alias("d"))
+    places = inside.select("cluster_id", "seq_no", (F.col("pos") + F.col("d")).alias("at"), F.substring("kmer", F.col("d") + 1, F.lit(short_k)).alias("kmer")).distinct()
     one = places.groupBy("cluster_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
     both = one.unionByName(one.select("cluster_id", S.reverse_complement("kmer").alias("kmer"), "n"))
     return both.groupBy("cluster_id", "kmer").agg(F.sum("n").alias("n"))
