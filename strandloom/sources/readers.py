@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
+from strandloom.operators.order import with_position
 
 CLUSTER_MARK = "cluster_start"
 
@@ -28,10 +29,15 @@ def fasta(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """record_no, header, seq, qual of records of four lines; a record starts at a line @ whose second next line is +."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.expr("regexp_extract_all(value, '@([^\\n]*)\\n([^\\n]*)\\n\\\\+[^\\n]*\\n([^\\n]*)', 0)")).alias("record_no", "r"))
-    part = lambda i: F.regexp_replace(F.element_at(F.split("r", "\n"), i), r"\r$", "")
-    return raw.select(F.col("record_no").cast("long").alias("record_no"), F.substring(part(1), 2, 1 << 30).alias("header"), part(2).alias("seq"), part(4).alias("qual"))
+    """record_no, header, seq, qual of records of four lines (plain or gzip).
+
+    Lines are numbered by file and place, so large files are read in parts.
+    """
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    rows = with_position(raw, "line", "file_path", "file_block_start", "id")
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", r"\r$", "")))
+    records = rows.groupBy(F.floor(F.col("line") / 4).alias("record_no")).agg(part(0).alias("header"), part(1).alias("seq"), part(3).alias("qual"))
+    return records.where("seq IS NOT NULL").select("record_no", F.substring("header", 2, 1 << 30).alias("header"), "seq", "qual")
 
 
 def fastq_to_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +69,7 @@ def count_clusters(spark: SparkSession, path: str) -> int:
 def groups(spark: SparkSession, path: str) -> DataFrame:
     """group_id, read_id of a file with the ids of a group on each line."""
     raw = spark.read.text(path).where("length(trim(value)) > 0").withColumn("group_id", F.monotonically_increasing_id())
-    return raw.select("group_id", F.explode(F.split(F.trim("value"), r"\s+")).cast("long").alias("read_id"))
+    return raw.select("group_id", F.explode(F.split(F.trim("value"), r"\s+")).alias("id")).select("group_id", F.col("id").cast("long").alias("read_id"))
 
 
 def mate_pairs(spark: SparkSession, path: str) -> DataFrame:
