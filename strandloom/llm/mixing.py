@@ -96,8 +96,9 @@ def draw(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, temper: floa
 
 
 def sample(docs: DataFrame, keep: float = KEEP, topic: Column | None = None) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns."""
-    return draw(docs, keep, topic=topic).where("drawn").select(*docs.columns)
+    """The drawn rows of ``docs``, with all its columns as they were."""
+    rows = docs.select("doc_id", "text", "source", "lang", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    return draw(rows, keep, topic=topic).where("drawn").select("_row.*")
 
 
 def draw_sql() -> str:

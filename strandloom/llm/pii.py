@@ -14,7 +14,8 @@ nothing is added. Base spans always stay.
 
 The patterns are written so that their matching stays linear in the text: a failing
 run of characters is left as a whole. Positions are code points, ends exclusive. A
-null text counts as empty. Rows keep their key; other columns are left alone.
+null text counts as empty. ``redact`` keeps all columns; the other functions replace
+columns that have the names of their results.
 """
 
 from __future__ import annotations
@@ -264,7 +265,8 @@ def span_string(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with each span of text replaced by its kind in brackets; a null text stays null. Overlapping spans become one."""
-    rows = find_pii(docs, model).withColumn("_spans", F.array_sort(F.transform(span_list(added=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    rows = find_pii(packed, model).withColumn("_spans", F.array_sort(F.transform(span_list(added=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -286,4 +288,5 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
         ),
     )
     whole = F.concat(F.array_join(piece, ""), F.substring("body", F.element_at("_merged", -1)["end"] + 1, F.length("body")))
-    return rows.withColumn("text", F.when(F.size("_merged") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    redacted = F.when(F.size("_merged") > 0, whole).otherwise(F.col("text"))
+    return _fence(rows.select("_row", redacted.alias("_text"))).select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.{c}") for c in docs.columns))
