@@ -518,8 +518,8 @@ def kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.kmeans(_profiles(spark, sf_dir), 8, 12).assignment
 
 
-@query("metacluster")
-def metacluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("adaptive_kmeans")
+def adaptive_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.adaptive(_profiles(spark, sf_dir), most=6, restarts=2, rounds=8)
 
 
