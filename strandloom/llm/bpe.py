@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.textblocks import U64, pieces, span_hashes, text_buffer
+from strandloom.llm.textblocks import U64, pieces, release, span_hashes, text_buffer
 from strandloom.runtime import ship_package
 
 WORD = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -125,19 +125,19 @@ class Bpe:
         own = self.compatible(self.left[256:], self.right[256:], np.arange(256, len(tokens)))
         usable = np.concatenate([np.ones(256, dtype=bool), own])
         usable &= self.id_of_rank >= 0
-        self.step: dict[int, int] = {}  # (node, byte) of a trie over the usable tokens
-        self.ends: list[int] = [-1]
+        step: dict[int, int] = {}  # (node, byte) of a trie over the usable tokens
+        ends = [-1]
         for r in np.flatnonzero(usable):
             node = 0
             for x in tokens[r]:
-                node = self.step.setdefault(node << 8 | x, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = int(r)
-        arcs = np.array(list(self.step.items()), dtype=np.int64)
+                node = step.setdefault(node << 8 | x, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = int(r)
+        arcs = np.array(list(step.items()), dtype=np.int64)
         arcs = arcs[np.argsort(arcs[:, 0])]
         self.arc_keys, self.arc_nodes = np.ascontiguousarray(arcs[:, 0]), np.ascontiguousarray(arcs[:, 1])
-        self.node_token = np.array(self.ends, dtype=np.int64)
+        self.node_token = np.array(ends, dtype=np.int64)
         self.added = {}
         for a in spec.get("added_tokens") or []:
             if a.get("single_word") or a.get("lstrip") or a.get("rstrip"):
@@ -190,21 +190,6 @@ class Bpe:
             live = live[split_x | split_y]
         return ok
 
-    def propose(self, word: bytes) -> list[int]:
-        """Longest matches from left to right."""
-        out, at, n = [], 0, len(word)
-        step, ends = self.step, self.ends
-        while at < n:
-            node, found, i = 0, word[at], at
-            to = at + 1
-            while i < n and (node := step.get(node << 8 | word[i])) is not None:
-                i += 1
-                if ends[node] >= 0:
-                    found, to = ends[node], i
-            out.append(found)
-            at = to
-        return out
-
     def exact(self, word: bytes) -> list[int]:
         """Merges in rank order, leftmost first, on a linked list with a heap."""
         n = len(word)
@@ -227,7 +212,7 @@ class Bpe:
         return [t for t in token if t >= 0]
 
     def propose_all(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``propose`` of many words at once: (tokens of all words, number of each)."""
+        """Longest matches from left to right: (tokens of all words, number of each)."""
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         buf = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
         begin = np.cumsum(size) - size
@@ -308,7 +293,7 @@ class Bpe:
                     parts.append(flat[at : at + sizes[k]])
                     at, k = at + sizes[k], k + 1
                 else:
-                    p = np.array(self.propose(w), dtype=np.int64)
+                    p = self.propose_all([w])[0]
                     parts.append(p if self.compatible(p[:-1], p[1:]).all() else np.array(self.exact(w), dtype=np.int64))
             flat, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return self.id_of_rank[flat].astype(np.uint32), sizes
@@ -439,6 +424,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", with_ids
                 if with_ids:
                     out["ids"] = pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32()))
                 yield pa.record_batch(out)
+        bpe.forget()
+        release()
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.textblocks import U64
+from strandloom.llm.textblocks import U64, pieces, release
 
-BATCH_BYTES = 6 << 20
-BUCKET_HASHES = 4_000_000
+BATCH_BYTES = 3 << 20
+BUCKET_HASHES = 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -85,6 +85,7 @@ def answers(sent: DataFrame, exact: bool) -> DataFrame:
         kind = "<u8" if exact else "<u4"
         parts = [np.cumsum(unpack(v, k, kind), dtype=kind) for v, k in zip(group.column("vals").to_pylist(), n)]
         counts = np.concatenate([unpack(v, k, "<u4") for v, k in zip(group.column("counts").to_pylist(), n)]).astype(np.int64)
+        release()
         values, where = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(values)).astype(np.int64)[where]
         ends = np.cumsum(n)
@@ -119,13 +120,12 @@ def send_hashes(docs: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray], bi
 
     def run(group: pa.Table) -> pa.Table:
         values, _, counts = distinct(hashes_of(group), bits, exact)
+        release()
         return pa.Table.from_batches([send(group.column("batch")[0].as_py(), values, counts, bits, exact)])
 
     return docs.groupBy("batch").applyInArrow(run, SENT)
 
 
 def slices(table: pa.Table, column: str) -> Iterator[pa.RecordBatch]:
-    from strandloom.llm.textblocks import pieces
-
     for batch in table.combine_chunks().to_batches():
         yield from pieces(batch, column)

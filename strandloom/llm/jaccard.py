@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import hashcount as hc
-from strandloom.llm.textblocks import LOWER, U64, Words, mix, text_buffer
+from strandloom.llm.textblocks import LOWER, U64, Words, mix, release, text_buffer
 from strandloom.operators.components import connected_components
 from strandloom.runtime import checkpoint, ship_package
 
@@ -63,7 +63,7 @@ def _least_shared(n: int, percent: int) -> int:
 
 
 def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix, keys, sketch."""
+    """doc_id, n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch."""
     rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text"), ["doc_id"])
     bits = hc.bucket_bits(total // 6)
 
@@ -76,33 +76,34 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
         flat = np.concatenate([np.zeros(0, dtype=U64), *every])
         _, where, _ = hc.distinct(flat, bits, False)
         levels = hc.read_levels(answer)[where] if len(flat) else np.zeros(0, dtype=np.uint8)
-        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "keys", "sketch")}
+        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "first", "keys", "sketch")}
         at = 0
         for s in every:
             n, lev = len(s), levels[at : at + len(s)]
             at += n
             common = lev > 0
-            row = (n, None, None, None, None, None)
+            row = (n, None, None, None, None, None, None)
             if n and int(common.sum()) >= _least_shared(n, percent):
                 node = int(mix(np.array([mix(s).sum(dtype=U64) + U64(n)], dtype=U64))[0].view(np.int64))
                 order = np.lexsort((s, lev))[: n - _least_shared(n, percent) + 1]
-                prefix = [(int(s[i].view(np.int64)), k) for k, i in enumerate(order.tolist()) if common[i]]
+                order = order[common[order]]  # hashes found nowhere else come first and match nothing
+                first = n - _least_shared(n, percent) + 1 - len(order)
                 shared = s[common]
                 keys = [int(mix(shared * U64(2 * k + 3)).min().view(np.int64)) for k in range(N_KEYS)]
                 odd = np.bincount((mix(s) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1
-                row = (n, node, shared.tobytes(), prefix, keys, np.packbits(odd).view(np.int64))
+                row = (n, node, shared.tobytes(), s[order].view(np.int64), first, keys, np.packbits(odd).view(np.int64))
             for values, x in zip(out.values(), row):
                 values.append(x)
+        release()
         ids = pa.chunked_array([p.column("doc_id") for p in parts], type=group.schema.field("doc_id").type)
-        place = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
-        as_dicts = [None if p is None else [{"gram": g, "pos": k} for g, k in p] for p in out["prefix"]]
         return pa.table(
             {
                 "doc_id": ids,
                 "n_shingles": pa.array(out["n_shingles"], pa.int64()),
                 "node": pa.array(out["node"], pa.int64()),
                 "shared": pa.array(out["shared"], pa.binary()),
-                "prefix": pa.array(as_dicts, place),
+                "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
+                "first": pa.array(out["first"], pa.int32()),
                 "keys": pa.array(out["keys"], pa.list_(pa.int64())),
                 "sketch": pa.array(out["sketch"], pa.list_(pa.int64())),
             }
@@ -110,7 +111,7 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
 
     levels = hc.answers(hc.send_hashes(rows, hashes, bits), exact=False)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, node long, shared binary, prefix array<struct<gram:long,pos:int>>, keys array<long>, sketch array<long>"
+    schema = f"doc_id {kind}, n_shingles long, node long, shared binary, prefix array<long>, first int, keys array<long>, sketch array<long>"
     return rows.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(sets, schema)
 
 
@@ -128,6 +129,7 @@ def overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 for x, y in zip(batch.column("sa"), batch.column("sb"))
             ]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(found, pa.int64())], names=[*keep, "inter"])
+        release()
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(count, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", inter long")
@@ -159,7 +161,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     rows = checkpoint(document_sets(docs, key, size, percent))
     far, slack = 1 - percent / 100, 1e-9
     linking = rows.where("node IS NOT NULL")
-    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "keys", "sketch")).alias("s")).select("node", "n", "s.*"))
+    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "first", "keys", "sketch")).alias("s")).select("node", "n", "s.*"))
 
     # 2. leaders
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -176,7 +178,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     )
 
     # 3. index lists of blocks
-    posts = nodes.select("node", F.explode("prefix").alias("p")).select("node", "p.gram", "p.pos").join(member.drop("sketch"), "node")
+    posts = nodes.select("node", "first", F.posexplode("prefix").alias("i", "gram")).select("node", "gram", (F.col("first") + F.col("i")).alias("pos")).join(member.drop("sketch"), "node")
     blocks = posts.groupBy("gram", "leader", "component").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")
     )

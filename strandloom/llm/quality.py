@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.textblocks import U64, Words, mix, pieces, text_buffer
+from strandloom.llm.textblocks import U64, Words, mix, pieces, release, text_buffer
 from strandloom.runtime import ship_package
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -219,6 +219,7 @@ def quality_features(docs: DataFrame, rules: tuple[Rule, ...] | None = None, key
                     | {"base_failed": pa.array(failed), "kept": pa.array(verdict < 0)}
                     | {"failed_rule": pa.array([None if v < 0 else names[v] for v in verdict.tolist()], type=pa.string())}
                 )
+        release()
 
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, failed_rule string"
@@ -235,5 +236,6 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Data
         for batch in batches:
             for part in pieces(batch, "text"):
                 yield part.filter(pa.array(cascade(View(part.column(at)), rules) < 0))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import hashcount as hc
-from strandloom.llm.textblocks import U64, Words, mix, powers, text_buffer
+from strandloom.llm.textblocks import U64, Words, mix, powers, release, text_buffer
 from strandloom.runtime import ship_package
 
 # A perfect difference set; its differences give every residue of the period.
@@ -124,6 +124,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", with_
                 if with_text:
                     out["kept_text"].append(kept.decode())
             out["doc_id"].append(part.column("doc_id"))
+        release()
         table = {"doc_id": pa.chunked_array(out["doc_id"], type=group.schema.field("doc_id").type), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.table(table | ({"kept_text": pa.array(out["kept_text"], pa.string())} if with_text else {}))
 

@@ -7,6 +7,7 @@ the same on every machine, and computed without a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, dtype=U64), "i": np.ones(1, dtype=U64)}
 
 
+def release() -> None:
+    """Give memory of finished work back to the system: Python workers live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x.copy()
@@ -63,7 +73,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row slices of about max_bytes of text; a longer text stands alone."""
     i = batch.schema.get_field_index(column)
     _, off = text_buffer(batch.column(i))
