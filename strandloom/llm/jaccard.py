@@ -62,9 +62,15 @@ def _least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch."""
-    rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text"), ["doc_id"])
+def _row(key: str) -> Column:
+    """A row's tag: rows of one key and text share it."""
+    return F.xxhash64(key, "text")
+
+
+def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bool = False) -> DataFrame:
+    """doc_id, (row, its tag,) n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch."""
+    own = ["doc_id", "row"] if tagged else ["doc_id"]
+    rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text", _row(key).alias("row")), own)
     bits = hc.bucket_bits(total // 6)
 
     def hashes(group: pa.Table) -> np.ndarray:
@@ -95,10 +101,10 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
             for values, x in zip(out.values(), row):
                 values.append(x)
         release()
-        ids = pa.chunked_array([p.column("doc_id") for p in parts], type=group.schema.field("doc_id").type)
+        kept = {c: pa.chunked_array([p.column(c) for p in parts], type=group.schema.field(c).type) for c in own}
         return pa.table(
             {
-                "doc_id": ids,
+                **kept,
                 "n_shingles": pa.array(out["n_shingles"], pa.int64()),
                 "node": pa.array(out["node"], pa.int64()),
                 "shared": pa.array(out["shared"], pa.binary()),
@@ -110,8 +116,8 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int) -> DataFra
         )
 
     levels = hc.answers(hc.send_hashes(rows, hashes, bits), exact=False)
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, node long, shared binary, prefix array<long>, first int, keys array<long>, sketch array<long>"
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_shingles long, node long, shared binary, prefix array<long>, first int, keys array<long>, sketch array<long>"
     return rows.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(sets, schema)
 
 
@@ -149,16 +155,10 @@ def _may_be_within(a: str, b: str, limit: Column) -> Column:
     return 2 * h <= (limit + 1e-9) * (F.col(f"{a}n") + F.col(f"{b}n") + h)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
-
-    Null and empty texts have no shingles and their own doc_id as component, as
-    has every text that links with none. Rows with equal sets are one component,
-    repeated rows included; a null doc_id counts for the component only if no
-    other is there. Only ``key`` and ``text`` are read.
-    """
+def _linked(docs: DataFrame, size: int, percent: int, key: str, tagged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the sets of all rows, checkpointed; node and component of every node that links)."""
     ship_package(docs.sparkSession)
-    rows = checkpoint(document_sets(docs, key, size, percent))
+    rows = checkpoint(document_sets(docs, key, size, percent, tagged))
     far, slack = 1 - percent / 100, 1e-9
     linking = rows.where("node IS NOT NULL")
     nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "first", "keys", "sketch")).alias("s")).select("node", "n", "s.*"))
@@ -215,7 +215,19 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     two = two.join(theirs, (F.col("lb") == F.col("mb")) & in_reach).select("a", "b").distinct()
     two = overlaps(two, plain).where(_links(percent)).select("a", "b")
     edges = found.select("a", "b").unionByName(at.where("link").select("a", "b")).unionByName(one.where("link").select("a", "b")).unionByName(two)
-    components = connected_components(edges)
+    return rows, connected_components(edges)
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
+
+    Null and empty texts have no shingles and their own doc_id as component, as
+    has every text that links with none. Rows with equal sets are one component,
+    repeated rows included; a null doc_id counts for the component only if no
+    other is there. Only ``key`` and ``text`` are read.
+    """
+    rows, components = _linked(docs, size, percent, key)
+    linking = rows.where("node IS NOT NULL")
 
     ids = linking.groupBy("node").agg(F.min("doc_id").alias("least"))
     smallest = ids.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
@@ -226,6 +238,23 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; rows without words stay, and of repeated rows all."""
-    found = jaccard_components(docs, size, percent, key).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, key, "left_semi").select(*docs.columns)
+    """One document of each component: the smallest key, then the smallest row tag (of key and text); a null key only where no other is.
+
+    Rows that link with none stay, null keys and texts without words included. A
+    document that is repeated (same key, not null, and same text) stays as often as it is there.
+    """
+    rows, components = _linked(docs, size, percent, key, tagged=True)
+    linking = rows.where("node IS NOT NULL").select("node", "doc_id", "row")
+    least = linking.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("m"))
+    nodes = least.join(components, "node", "left").select("node", "least", "m", F.coalesce("component", "node").alias("component"))
+    best = nodes.groupBy("component").agg(F.min("least").alias("best"))
+    nodes = checkpoint(nodes.join(best, "component").select("node", "m", F.col("best.none").alias("none"), F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row")))
+    beaten = linking.join(nodes, "node").where("NOT (doc_id <=> best_id AND row = best_row)").select("doc_id", "row")
+    # rows of a null key cannot be told apart by it: all copies of the best go, and one comes back
+    copied = nodes.where("none AND m > 1").select(F.col("best_id").alias("doc_id"), F.col("best_row").alias("row")).distinct()
+
+    whole = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), _row(key).alias("tag"))
+    gone = beaten.unionByName(copied)
+    stay = whole.join(gone, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("row")), "left_anti").select("doc.*")
+    back = whole.where("key IS NULL").join(copied, F.col("tag") == F.col("row"), "left_semi").groupBy("tag").agg(F.first("doc").alias("doc")).select("doc.*")
+    return stay.unionByName(back)

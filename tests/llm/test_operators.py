@@ -284,6 +284,24 @@ def test_keep_one(docs, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c, d, e = (prose(120, s) for s in range(60, 65))
+    rows = [
+        (None, "nothing like it " + prose(40, 70)), (None, None), (None, " "), (None, "solo"),  # link with none: all stay
+        (None, a), (7, a + " more"), (8, a),  # a null key only where no other is
+        (None, b), (None, b), (None, b + " more"),  # null keys only: one row
+        (9, c), (10, c), (10, d),  # 10 loses one group and is alone elsewhere
+        (11, e), (11, e + " more"),  # one key, two texts of one group
+    ]
+    df = spark.createDataFrame([(*r, {"n": i}) for i, r in enumerate(rows)], "doc_id long, text string, own map<string,int>")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    found = [(r.doc_id, r.text, r.own["n"]) for r in kept.collect()]
+    n = {x[2] for x in found}
+    assert len(found) == len(n) == 9 and {0, 1, 2, 3, 5, 10, 12} <= n
+    assert len(n & {7, 8, 9}) == 1 and len(n & {13, 14}) == 1
+
+
 # 9 repeats
 def test_repeats_equal_brute_force(spark, docs, empty):
     rng = random.Random(8)
