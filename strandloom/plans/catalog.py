@@ -1,12 +1,13 @@
 """Registered queries of the sequence operators, with the same results as SQL for DuckDB.
 
-Reads are derived from whole texts of ``documents`` (``reads_of_texts``); distances
-and centres use ``embeddings`` in thousandths, as integers, so both engines agree exactly.
+Reads are derived from ``documents`` (``reads_of_texts``): pieces of 100 letters, and in
+the queries named ``whole_...`` the shorter last piece of each text too. Distances and centres use ``embeddings`` in thousandths, as integers, so both engines agree exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+#: Whether the reads of the query being built hold the shorter last pieces.
+_REST: ContextVar[bool] = ContextVar("rest", default=False)
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -35,6 +39,7 @@ reads AS (SELECT doc_id, i, substr(q, i * 100 + 1, 100) AS seq FROM (SELECT doc_
 
 READS = _reads_sql("ACGTACGTACGTACGTACGTACGTAC")
 RAW = _reads_sql("ACGTACGTACGTANGTACGTACGTAC")
+WHOLE = {x: x.replace("WHERE length(q) >= 100", "WHERE length(q) >= 1").replace("length(q) // 100", "(length(q) + 99) // 100") for x in (READS, RAW)}
 UNIQUE = READS + ",\nu AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS read_id FROM (SELECT DISTINCT seq FROM reads))"
 
 
@@ -51,11 +56,11 @@ occ AS (SELECT {key}, p - 1 AS pos, substr(seq, p, {k}) AS kmer,
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.reads_of_texts(table(spark, sf_dir, "documents"))
+    return readers.reads_of_texts(table(spark, sf_dir, "documents"), rest=_REST.get())
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.reads_of_texts(table(spark, sf_dir, "documents"), keep_n=True)
+    return readers.reads_of_texts(table(spark, sf_dir, "documents"), keep_n=True, rest=_REST.get())
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +71,19 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoint(order.with_position(_reads(spark, sf_dir), "orig_rank", "doc_id", "i"))
 
 
+def _with_rest(f: Query) -> Query:
+    """The query over all letters of the texts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _REST.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _REST.reset(token)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name] = f
@@ -359,6 +377,7 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("capped_groups")
+@_with_rest
 def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent, so beyond SQL; tests hold it against a sequential model."""
     ship_package(spark)
@@ -543,6 +562,13 @@ def bwt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.rank_before(bwt.transform(_unique(spark, sf_dir)))
 
 
+# Every query with SQL over reads, over the whole texts.
+for _name, _sql in list(_SQL.items()):
+    for _cut, _all in WHOLE.items():
+        if _cut in _sql:
+            query(f"whole_{_name}", _sql.replace(_cut, _all))(_with_rest(_QUERIES[_name]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -77,14 +77,16 @@ def mate_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema="r1 long, r2 long")
 
 
-def reads_of_texts(docs: DataFrame, length: int = 100, keep_n: bool = False) -> DataFrame:
-    """doc_id, i, seq: letters of each whole text as bases, odd ids on the other strand, cut in pieces of ``length``.
+def reads_of_texts(docs: DataFrame, length: int = 100, keep_n: bool = False, rest: bool = True) -> DataFrame:
+    """doc_id, i, seq: letters of each text as bases, odd ids on the other strand, cut in pieces of ``length``.
 
-    With ``keep_n`` the letter N stays N, which gives sequences with unknown bases.
+    With ``keep_n`` the letter N stays N, which gives sequences with unknown bases. The last
+    piece of a text may be shorter; without ``rest`` only pieces of full ``length`` are given.
     """
     bases = "ACGTACGTACGTA" + ("N" if keep_n else "C") + "GTACGTACGTAC"
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", bases)
     rows = docs.select("doc_id", letters.alias("q"))
     rows = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 1, S.reverse_complement("q")).otherwise(F.col("q")).alias("q"))
-    pieces = F.sequence(F.lit(0).cast("long"), F.floor(F.length("q") / length) - 1)
-    return rows.where(F.length("q") >= length).select("doc_id", "q", F.explode(pieces).alias("i")).select("doc_id", "i", F.substring("q", (F.col("i") * length + 1).cast("int"), F.lit(length)).alias("seq"))
+    n = F.ceil(F.length("q") / length) if rest else F.floor(F.length("q") / length)
+    pieces = F.sequence(F.lit(0).cast("long"), n - 1)
+    return rows.where(F.length("q") >= (1 if rest else length)).select("doc_id", "q", F.explode(pieces).alias("i")).select("doc_id", "i", F.substring("q", (F.col("i") * length + 1).cast("int"), F.lit(length)).alias("seq"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strandloom.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,20 @@ def test_spark_equals_sql(spark, name):
     got = sorted(tuple(r) for r in df.select(*columns).collect())
     want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
     assert got == want
+
+
+WHOLE = ["read_ids", "trim_n", "cut_ambiguous", "pairs_after_dedupe", "filter_rc", "kmer_spectrum", "components", "profile_positions", "pair_counts", "bwt"]
+
+
+@pytest.mark.parametrize("name", [f"whole_{x}" for x in WHOLE])
+def test_whole_texts_equal_sql(spark, name):
+    test_spark_equals_sql(spark, name)
+
+
+def test_whole_texts_lose_no_letter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(-2, "ab c"), (-1, "A" * 201), (None, "a1")], "doc_id long, text string"), allowMissingColumns=True)
+    letters = docs.selectExpr("sum(length(regexp_replace(text, '[^A-Za-z]', '')))").first()[0]
+    rows = readers.reads_of_texts(docs)
+    assert rows.selectExpr("sum(length(seq))").first()[0] == letters
+    assert [(r.i, len(r.seq)) for r in rows.where("doc_id = -1").orderBy("i").collect()] == [(0, 100), (1, 100), (2, 1)]
+    assert {r.seq for r in rows.where("doc_id = -2 OR doc_id IS NULL").collect()} == {"ACG", "A"}
