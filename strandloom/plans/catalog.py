@@ -263,7 +263,7 @@ def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmer_counts", f"WITH {UNIQUE}, {_occ(16)} SELECT kmer, count(*) AS n FROM occ GROUP BY kmer HAVING count(*) >= 2")
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated k-mers; ``kmer_spectrum`` covers the others."""
+    """Repeated k-mers; ``kmer_counts_all`` has the others too."""
     return K.counts(_unique(spark, sf_dir), 16).where("n >= 2")
 
 
@@ -272,6 +272,16 @@ def canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.canonical_counts(_unique(spark, sf_dir), 16).where("n >= 2")
 
 
+@query("kmer_counts_all", f"WITH {UNIQUE}, {_occ(16)} SELECT kmer, count(*) AS n FROM occ GROUP BY kmer")
+def kmer_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.counts(_unique(spark, sf_dir), 16)
+
+
+@query("canonical_counts_all", f"WITH {UNIQUE}, {_occ(16)} SELECT least(kmer, {_rc('kmer')}) AS kmer, count(*) AS n FROM occ GROUP BY 1")
+def canonical_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.canonical_counts(_unique(spark, sf_dir), 16)
+
+
 @query("neighbour_symbols", f"WITH {UNIQUE}, {_occ(8)} SELECT kmer, count(*) AS n, count(DISTINCT nxt) AS nexts, count(DISTINCT prv) AS prevs FROM occ GROUP BY kmer")
 def neighbour_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = K.neighbourhoods(_unique(spark, sf_dir), 8)
@@ -293,6 +303,12 @@ def right_maximal_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.right_maximal_both(_unique(spark, sf_dir), 16).where("n >= 2")
 
 
+@query("right_maximal_rc_all", f"WITH {UNIQUE}, {_good_sql(16, 2)} SELECT w AS kmer, n FROM rm")
+def right_maximal_rc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With those that are their own reverse complement and occur once."""
+    return K.right_maximal_both(_unique(spark, sf_dir), 16)
+
+
 @query("supermaximal", f"WITH {UNIQUE}, {_occ(8)} SELECT kmer, count(*) AS n FROM occ GROUP BY kmer HAVING count(*) = count(DISTINCT nxt) AND count(*) = count(DISTINCT prv)")
 def supermaximal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.supermaximal(_unique(spark, sf_dir), 8)

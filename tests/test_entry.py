@@ -45,3 +45,10 @@ def test_whole_texts_lose_no_letter(spark):
     assert rows.selectExpr("sum(length(seq))").first()[0] == letters
     assert [(r.i, len(r.seq)) for r in rows.where("doc_id = -1").orderBy("i").collect()] == [(0, 100), (1, 100), (2, 1)]
     assert {r.seq for r in rows.where("doc_id = -2 OR doc_id IS NULL").collect()} == {"ACG", "A"}
+
+
+@pytest.mark.parametrize("name", [f"{w}{x}_all" for w in ("", "whole_") for x in ("kmer_counts", "canonical_counts", "right_maximal_rc")])
+def test_all_kmers_equal_sql(spark, name):
+    test_spark_equals_sql(spark, name)
+    rows = entry.queries()[name](spark, SF)
+    assert "right" in name or rows.where("n = 1").count() > 0

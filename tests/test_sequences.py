@@ -87,6 +87,13 @@ def test_canonical_counts(unique):
     assert K.occurrences(unique, 11).count() == 0
 
 
+def test_own_reverse_complement_once_is_maximal(spark):
+    one = spark.createDataFrame([(0, "AACGTT"), (1, "GACGTC")], "read_id long, seq string")
+    assert ("AACGTT", 1) not in pairs(K.right_maximal_both(one, 6))  # $ on either strand
+    once = spark.createDataFrame([(0, "AACGTC")], "read_id long, seq string")
+    assert ("ACGT", 1) in pairs(K.right_maximal_both(once, 4))  # next C, and the complement of A before
+
+
 @pytest.mark.parametrize(("k", "tau", "keep"), [(4, 2, {0, 1, 2, 3}), (4, 4, {0, 1, 3}), (5, 3, {0, 1, 3}), (6, 2, {0, 1, 2, 3})])
 def test_filter_both_strands(unique, k, tau, keep):
     assert {r[0] for r in filtering.frequent_both(unique, k, tau).collect()} == keep
