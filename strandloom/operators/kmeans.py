@@ -56,10 +56,11 @@ class Result:
     assignment: DataFrame  # id, cluster, dist
     centres: list[list[float]]
     rounds: int
+    settled: bool  # no point moved in the last round
 
 
 def kmeans(points: DataFrame, k: int = 50, rounds: int = 100, seed: int = 1, init_ids: list[int] | None = None) -> Result:
-    """Footrule k-means: ranks decide the assignment, profiles the means; ends when no point moves.
+    """Footrule k-means: ranks decide the assignment, profiles the means; ends when no point moves, or after ``rounds``, then perhaps not ``settled``.
 
     Seeds are ``init_ids``, or k distinct points in a random order fixed by ``seed``. A
     cluster without members keeps a centre of zeros.
@@ -68,7 +69,7 @@ def kmeans(points: DataFrame, k: int = 50, rounds: int = 100, seed: int = 1, ini
     chosen = points.where(F.col("id").isin(init_ids)).orderBy("id") if init_ids else points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
     centres = [list(r["profile"]) for r in chosen.select("profile").collect()]
     if not centres:
-        return Result(points.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("dist")), [], 0)
+        return Result(points.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("dist")), [], 0, True)
     size, last = len(centres[0]), None
     for n in range(1, rounds + 1):
         now = checkpoint(nearest(points, [_ranks(c) for c in centres]))
@@ -78,7 +79,7 @@ def kmeans(points: DataFrame, k: int = 50, rounds: int = 100, seed: int = 1, ini
         found = centroids(now, size)
         centres = [found.get(i, [0.0] * size) for i in range(len(centres))]
         last = now
-    return Result(now.select("id", "cluster", "dist"), centres, n)
+    return Result(now.select("id", "cluster", "dist"), centres, n, not moved)
 
 
 def truncated_centroids(assigned: DataFrame) -> DataFrame:

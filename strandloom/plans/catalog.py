@@ -550,12 +550,12 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans")
 def kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.kmeans(_profiles(spark, sf_dir), 8, 12).assignment
+    return kmeans.kmeans(_profiles(spark, sf_dir)).assignment
 
 
 @query("adaptive_kmeans")
 def adaptive_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.adaptive(_profiles(spark, sf_dir), most=6, restarts=2, rounds=8)
+    return kmeans.adaptive(_profiles(spark, sf_dir))
 
 
 # Index.

@@ -13,7 +13,7 @@ from strandloom.operators import kmers as K
 from strandloom.operators import reads as R
 from strandloom.operators.components import connected_components
 from strandloom.operators.order import with_position
-from strandloom.plans import pipeline
+from strandloom.plans import catalog, pipeline
 from strandloom.plans.config import Config, command_line, read_config
 from strandloom.sources import readers, writers
 from strandloom.streaming.counts import streaming_counts
@@ -166,6 +166,20 @@ def test_kmeans_and_merging(spark):
     assert kmeans.agglomerate([[0.0, 1.0], [0.0, 1.1], [9.0, 1.0]], {0: 1, 1: 1, 2: 1}, {0: 0.1, 1: 0.1, 2: 0.1}) == {0: 0, 1: 0, 2: 2}
 
 
+def test_kmeans_tells_whether_it_settled(spark):
+    df = spark.createDataFrame([(i, [float(i % 2 * 5 + i), 1.0, float((1 - i % 2) * 9)]) for i in range(10)], "id long, profile array<double>")
+    assert kmeans.kmeans(df, 2, 10, init_ids=[0, 1]).settled
+    assert not kmeans.kmeans(df, 2, 1, init_ids=[0, 1]).settled
+
+
+def test_registered_kmeans_has_reference_settings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(kmeans, "kmeans", lambda p, k=50, rounds=100, seed=1: seen.append((k, rounds, seed)) or kmeans.Result(p.selectExpr("id", "0 AS cluster", "0.0D AS dist"), [[0.0]], 1, True))
+    catalog.kmeans_query(spark, "/root/testdata/sf0.001")
+    catalog.adaptive_kmeans(spark, "/root/testdata/sf0.001")
+    assert seen == [(50, 100, 1), *((10, 200, 1 + r) for r in range(10))]
+
+
 def test_bwt_against_sorted_suffixes(spark, unique):
     suffixes = sorted((s[p:] + "$", i, s[p - 1] if p else "$") for i, s in enumerate(UNIQUE) for p in range(len(s) + 1))
     b = bwt.transform(unique)
