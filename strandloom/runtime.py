@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEANED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -32,18 +36,51 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of this machine is chosen.
+    Only where that is unset in a local session, as in tests, a folder of this machine is
+    chosen; on a cluster that would be a folder nobody else sees, so it is an error there.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared folder; all of them go when the program ends."""
+    root = f"{shared_folder(spark)}/tables"
+    if root not in _CLEANED:
+        _CLEANED.add(root)
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the session may be gone; then the folder's owner clears it
+                remove(spark, root)
+
+        atexit.register(clean)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet at ``path`` and read again: its lineage ends there, and its size is known."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and cut its lineage.
+
+    Unlike ``DataFrame.checkpoint`` the result has the table's real size and not the
+    estimate of the plan behind it, which grows with every join of a loop.
+    """
+    return written(df, scratch(df.sparkSession, "step"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

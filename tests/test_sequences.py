@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import bwt, filtering, grouping, kmeans, profiles
+from strandloom.operators import bwt, components, filtering, grouping, kmeans, profiles
 from strandloom.operators import kmers as K
 from strandloom.operators import reads as R
 from strandloom.operators.components import connected_components
@@ -143,6 +143,28 @@ def test_connected_components_of_a_long_path(spark):
     assert connected_components(edges.where("a < 0")).count() == 0
 
 
+def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
+    ids = list(range(5000))
+    random.Random(3).shuffle(ids)
+    sizes = []
+    settled = components._settled
+    monkeypatch.setattr(components, "_settled", lambda rows: sizes.append(len(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())) or settled(rows))
+    got = connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
+    assert got.agg(F.max("component")).first()[0] == 0 and got.count() == 5000
+    assert len(sizes) <= 16 and max(sizes) < 8  # digits of the size estimate: no round inherits the one before
+
+
+def test_components_equal_a_model(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 7), (None, 3), (900, 900)] + [(5, 500 + i) for i in range(300)]
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(pairs(connected_components(spark.createDataFrame(edges, "a long, b long")))) == least
+
+
 def test_profiles(spark):
     c = spark.createDataFrame([(0, 0, UNIQUE[0]), (0, 1, UNIQUE[1])], "cluster_id long, seq_no long, seq string")
     got = {r.kmer: r.n for r in profiles.by_distinct_windows(c, 5, 2).collect()}
