@@ -148,7 +148,7 @@ def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
     random.Random(3).shuffle(ids)
     sizes = []
     settled = components._settled
-    monkeypatch.setattr(components, "_settled", lambda rows: sizes.append(len(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())) or settled(rows))
+    monkeypatch.setattr(components, "_settled", lambda rows: sizes.append(len(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) or settled(rows))
     got = connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
     assert got.agg(F.max("component")).first()[0] == 0 and got.count() == 5000
     assert len(sizes) <= 16 and max(sizes) < 8  # digits of the size estimate: no round inherits the one before
