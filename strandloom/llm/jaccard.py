@@ -6,9 +6,11 @@ and never pairs all documents of a group:
 1. Document frequencies of all shingles are counted (``hashcount``). A set can
    only link if ``percent`` % of its shingles occur in another document; the
    others leave with their size alone. Equal sets collapse to one node.
-2. Set relations: nodes meet under a few min-hash keys, each with the smallest
-   node of its key, and the overlap is computed. A linked node becomes a member
-   of its most similar leader, at a known distance.
+2. Set relations: nodes meet under a few min-hash keys, each with the most typical
+   node of its key (the one whose shingles occur most often), and the overlap is
+   computed. A linked node becomes a member of its most similar leader, at a known
+   distance. The source of a group of near copies is the most typical of them, so
+   most copies become its members at once, however many there are.
 3. Index lists over prefixes (rarest shingles first) hold one block for each
    leader's members, with the block's least position and range of sizes. Lists
    that hold one component are skipped; blocks pair only if sizes and positions
@@ -17,8 +19,9 @@ and never pairs all documents of a group:
    most of the rest before any set is moved.
 4. Answers are derived from the leaders' ones: Jaccard distance is a metric, so
    the distance of two leaders bounds those of their members. Leader pairs too
-   far apart are skipped whole; else members of one side are held against the
-   other leader, and only those still in reach against its members.
+   far apart are skipped whole. Links of leaders join components, and pairs inside
+   one component go; else members of one side are held against the other leader,
+   and only those still in reach against its members.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def _row(key: str) -> Column:
 
 
 def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bool = False) -> DataFrame:
-    """doc_id, (row, its tag,) n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch."""
+    """doc_id, (row, its tag,) n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch, typical (how often its shingles occur elsewhere)."""
     own = ["doc_id", "row"] if tagged else ["doc_id"]
     rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text", _row(key).alias("row")), own)
     bits = hc.bucket_bits(total // 6)
@@ -82,13 +85,13 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bo
         flat = np.concatenate([np.zeros(0, dtype=U64), *every])
         _, where, _ = hc.distinct(flat, bits, False)
         levels = hc.read_levels(answer)[where] if len(flat) else np.zeros(0, dtype=np.uint8)
-        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "first", "keys", "sketch")}
+        out: dict[str, list] = {k: [] for k in ("n_shingles", "node", "shared", "prefix", "first", "keys", "sketch", "typical")}
         at = 0
         for s in every:
             n, lev = len(s), levels[at : at + len(s)]
             at += n
             common = lev > 0
-            row = (n, None, None, None, None, None, None)
+            row = (n, *[None] * 7)
             if n and int(common.sum()) >= _least_shared(n, percent):
                 node = int(mix(np.array([mix(s).sum(dtype=U64) + U64(n)], dtype=U64))[0].view(np.int64))
                 order = np.lexsort((s, lev))[: n - _least_shared(n, percent) + 1]
@@ -97,7 +100,7 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bo
                 shared = s[common]
                 keys = [int(mix(shared * U64(2 * k + 3)).min().view(np.int64)) for k in range(N_KEYS)]
                 odd = np.bincount((mix(s) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1
-                row = (n, node, shared.tobytes(), s[order].view(np.int64), first, keys, np.packbits(odd).view(np.int64))
+                row = (n, node, shared.tobytes(), s[order].view(np.int64), first, keys, np.packbits(odd).view(np.int64), int(16 * lev.sum(dtype=np.int64) // n))
             for values, x in zip(out.values(), row):
                 values.append(x)
         release()
@@ -112,12 +115,13 @@ def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bo
                 "first": pa.array(out["first"], pa.int32()),
                 "keys": pa.array(out["keys"], pa.list_(pa.int64())),
                 "sketch": pa.array(out["sketch"], pa.list_(pa.int64())),
+                "typical": pa.array(out["typical"], pa.int32()),
             }
         )
 
     levels = hc.answers(hc.send_hashes(rows, hashes, bits), exact=False)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_shingles long, node long, shared binary, prefix array<long>, first int, keys array<long>, sketch array<long>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_shingles long, node long, shared binary, prefix array<long>, first int, keys array<long>, sketch array<long>, typical int"
     return rows.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(sets, schema)
 
 
@@ -161,11 +165,12 @@ def _linked(docs: DataFrame, size: int, percent: int, key: str, tagged: bool = F
     rows = checkpoint(document_sets(docs, key, size, percent, tagged))
     far, slack = 1 - percent / 100, 1e-9
     linking = rows.where("node IS NOT NULL")
-    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "first", "keys", "sketch")).alias("s")).select("node", "n", "s.*"))
+    nodes = checkpoint(linking.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min(F.struct("shared", "prefix", "first", "keys", "sketch", "typical")).alias("s")).select("node", "n", "s.*"))
 
     # 2. leaders
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    meeting = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    keyed = nodes.select("node", "typical", F.explode("keys").alias("key"))
+    best = keyed.groupBy("key").agg(F.min(F.struct(-F.col("typical"), "node")).alias("best"), F.count(F.lit(1)).alias("m"))
+    meeting = checkpoint(best.where("m > 1").select("key", F.col("best.node").alias("b")))  # a table of its own, so that a key of many rows may be split in the join
     to_leaders = keyed.join(meeting, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     found = checkpoint(overlaps(to_leaders, nodes.select("node", "n", "shared")).where(_links(percent)).select("a", "b", _distance().alias("d")))
     first = connected_components(found)
@@ -203,7 +208,11 @@ def _linked(docs: DataFrame, size: int, percent: int, key: str, tagged: bool = F
     at = at.join(reach.select(F.col("leader").alias("a"), F.col("r").alias("ra")), "a")
     at = at.join(reach.select(F.col("leader").alias("b"), F.col("r").alias("rb"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
     at = checkpoint(at.where(F.col("link") | (F.col("d") <= far + F.col("ra") + F.col("rb") + slack)))
-    near = at.where("NOT link AND ra + rb > 0").withColumnsRenamed({"a": "la", "d": "dl"}).drop("link")
+    joined = found.select("a", "b").unionByName(at.where("link").select("a", "b"))
+    second = checkpoint(connected_components(joined))
+    of = lambda x, name: second.select(F.col("node").alias(x), F.col("component").alias(name))
+    near = at.where("NOT link AND ra + rb > 0").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
+    near = near.withColumnsRenamed({"a": "la", "d": "dl"}).drop("link")
     ours = member.select(F.col("leader").alias("ma"), F.col("node").alias("a"), F.col("d").alias("da"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     in_reach = (F.abs(F.col("dl") - F.col("da")) <= far + F.col("rb") + slack) & _may_be_within("a_", "b_", far + F.col("rb"))
     one = near.join(ours, (F.col("la") == F.col("ma")) & in_reach).select("a", "b", "rb").distinct()
@@ -214,7 +223,8 @@ def _linked(docs: DataFrame, size: int, percent: int, key: str, tagged: bool = F
     in_reach = (F.abs(F.col("d") - F.col("db")) <= far + slack) & (F.col("a") != F.col("b")) & _may_be_within("a_", "b_", F.lit(far))
     two = two.join(theirs, (F.col("lb") == F.col("mb")) & in_reach).select("a", "b").distinct()
     two = overlaps(two, plain).where(_links(percent)).select("a", "b")
-    edges = found.select("a", "b").unionByName(at.where("link").select("a", "b")).unionByName(one.where("link").select("a", "b")).unionByName(two)
+    stars = second.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = stars.unionByName(one.where("link").select("a", "b")).unionByName(two)
     return rows, connected_components(edges)
 
 
@@ -237,24 +247,25 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     return linking.select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", keep_repeats: bool = True) -> DataFrame:
     """One document of each component: the smallest key, then the smallest row tag (of key and text); a null key only where no other is.
 
     Rows that link with none stay, null keys and texts without words included. A
-    document that is repeated (same key, not null, and same text) stays as often as it is there.
+    document that is repeated (same key, not null, and same text) stays as often as it
+    is there with ``keep_repeats``, and once without.
     """
     rows, components = _linked(docs, size, percent, key, tagged=True)
-    linking = rows.where("node IS NOT NULL").select("node", "doc_id", "row")
-    least = linking.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("m"))
-    nodes = least.join(components, "node", "left").select("node", "least", "m", F.coalesce("component", "node").alias("component"))
+    linking = rows.where("node IS NOT NULL").groupBy("node", "doc_id", "row").agg(F.count(F.lit(1)).alias("m"))
+    least = linking.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "m")).alias("least"))
+    nodes = least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     best = nodes.groupBy("component").agg(F.min("least").alias("best"))
-    nodes = checkpoint(nodes.join(best, "component").select("node", "m", F.col("best.none").alias("none"), F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row")))
-    beaten = linking.join(nodes, "node").where("NOT (doc_id <=> best_id AND row = best_row)").select("doc_id", "row")
-    # rows of a null key cannot be told apart by it: all copies of the best go, and one comes back
-    copied = nodes.where("none AND m > 1").select(F.col("best_id").alias("doc_id"), F.col("best_row").alias("row")).distinct()
+    nodes = checkpoint(nodes.join(best, "component").select("node", F.col("best.none").alias("none"), F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), F.col("best.m").alias("m")))
+    beaten = linking.join(nodes.drop("m"), "node").where("NOT (doc_id <=> best_id AND row = best_row)").select("doc_id", "row")
+    # copies of a row cannot be told apart: all copies of the best go, and one comes back
+    copied = nodes.where("m > 1 AND none" if keep_repeats else "m > 1").select(F.col("best_id").alias("doc_id"), F.col("best_row").alias("row")).distinct()
 
     whole = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), _row(key).alias("tag"))
-    gone = beaten.unionByName(copied)
-    stay = whole.join(gone, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("row")), "left_anti").select("doc.*")
-    back = whole.where("key IS NULL").join(copied, F.col("tag") == F.col("row"), "left_semi").groupBy("tag").agg(F.first("doc").alias("doc")).select("doc.*")
+    same = F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("row"))
+    stay = whole.join(beaten.unionByName(copied), same, "left_anti").select("doc.*")
+    back = whole.join(copied, same, "left_semi").groupBy("key", "tag").agg(F.first("doc").alias("doc")).select("doc.*")
     return stay.unionByName(back)
