@@ -7,7 +7,8 @@ left to right. A proposal is the BPE encoding exactly if every adjacent pair of
 its tokens is compatible, i.e. if the two tokens side by side would not have
 merged across their border; all distinct pairs of a batch are tested at once on
 arrays of split and merge tables. Only words with an incompatible pair are merged
-exactly, with a heap.
+exactly, with a heap. A word seen before is found by its hash and then compared byte by
+byte, so words of one hash do not get each other's tokens.
 
 Null texts are empty and give no tokens. Decoding joins token bytes and replaces
 what is no UTF-8.
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.textblocks import U64, pieces, release, span_hashes, text_buffer
+from strandloom.llm.textblocks import U64, pieces, release, same_spans, span_hashes, text_buffer
 from strandloom.runtime import ship_package
 
 WORD = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -153,11 +154,12 @@ class Bpe:
         self.all_bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     def forget(self) -> None:
-        """Empty the table of known words: sorted hashes, and where each word's ids lie."""
+        """Empty the table of known words: sorted hashes, where each word's ids lie, and where its bytes lie."""
         self.known = [np.zeros(0, dtype=U64)] * 2
-        self.place = [np.zeros((0, 2), dtype=np.int64)] * 2
+        self.place = [np.zeros((0, 4), dtype=np.int64)] * 2
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.n_ids = 0
+        self.letters = np.zeros(1 << 16, dtype=np.uint8)
+        self.n_ids = self.n_letters = 0
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.tokens) + b
@@ -316,8 +318,8 @@ class Bpe:
         return tokens[np.argsort(owner, kind="stable")], sizes
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """(place, number of ids) of each hash, place -1 where it is new."""
-        out = np.full((len(hashes), 2), -1, dtype=np.int64)
+        """(place, number of ids, place and number of bytes) of each hash, -1 where it is new."""
+        out = np.full((len(hashes), 4), -1, dtype=np.int64)
         for known, place in zip(self.known, self.place):
             if len(known):
                 at = np.searchsorted(known, hashes)
@@ -331,8 +333,12 @@ class Bpe:
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        place = np.stack([self.n_ids + np.cumsum(sizes) - sizes, sizes], axis=1)
-        self.n_ids += len(ids)
+        data, lengths = np.frombuffer(b"".join(raw), dtype=np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        while self.n_letters + len(data) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.n_letters : self.n_letters + len(data)] = data
+        place = np.stack([self.n_ids + np.cumsum(sizes) - sizes, sizes, self.n_letters + np.cumsum(lengths) - lengths, lengths], axis=1)
+        self.n_ids, self.n_letters = self.n_ids + len(ids), self.n_letters + len(data)
         to = 0 if len(self.known[1]) > 100_000 else 1  # a small recent table; the large one is sorted anew now and then
         old = range(2) if to == 0 else (1,)
         both, where = np.concatenate([*(self.known[k] for k in old), hashes]), np.concatenate([*(self.place[k] for k in old), place])
@@ -355,11 +361,20 @@ class Bpe:
             data = buf.tobytes()
             spans = zip(at[example[new]].tolist(), ends[example[new]].tolist())
             found[new] = self._add(unique[new], [data[a:b] for a, b in spans])
-        sizes = found[which, 1]
+        word = found[which]
+        sizes, where = word[:, 1], word[:, 0]
+        other = np.flatnonzero(~same_spans(buf, at, ends, self.letters[: self.n_letters], word[:, 2], word[:, 2] + word[:, 3]))
+        ids = self.ids
+        if len(other):  # another word of the same hash is known: these are encoded on their own
+            data = buf.tobytes()
+            own, lengths = self.encode_words([data[a:b] for a, b in zip(at[other].tolist(), ends[other].tolist())])
+            where, sizes = where.copy(), sizes.copy()
+            where[other], sizes[other] = self.n_ids + np.cumsum(lengths) - lengths, lengths
+            ids = np.concatenate([ids[: self.n_ids], own])
         total = np.zeros(len(sizes) + 1, dtype=np.int64)
         np.cumsum(sizes, out=total[1:])
-        take = np.arange(total[-1]) + np.repeat(found[which, 0] - total[:-1], sizes)
-        return self.ids[take], total[first]
+        take = np.arange(total[-1]) + np.repeat(where - total[:-1], sizes)
+        return ids[take], total[first]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import hashcount as hc
-from strandloom.llm.textblocks import U64, Words, mix, powers, release, text_buffer
+from strandloom.llm.textblocks import U64, Words, mix, release, text_buffer
 from strandloom.runtime import ship_package
 
 # A perfect difference set; its differences give every residue of the period.
@@ -35,17 +35,22 @@ class Passages:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.words = Words(buf, off)
-        n = len(self.words.hashes)
-        p, self._inverse = powers(n + 1)
-        self._sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(self.words.hashes * p[:n], out=self._sums[1:])
+        self._ladder = [self.words.hashes]  # hashes of runs of 1, 2, 4, ... words
         self.first = np.repeat(self.words.word_off[:-1], self.words.counts)
         self.end = np.repeat(self.words.word_off[1:], self.words.counts)
-        self.n = n
+        self.n = len(self.words.hashes)
 
     def runs(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Hash of the ``length`` words from each position."""
-        return mix((self._sums[at + length] - self._sums[at]) * self._inverse[at] + U64(length))
+        """Hash of the ``length`` words from each position, put together from runs of powers of two."""
+        out, place = np.full(len(at), length, dtype=U64), at
+        for k in range(length.bit_length()):
+            if k == len(self._ladder):
+                last, half = self._ladder[-1], 1 << (k - 1)
+                self._ladder.append(mix(mix(last[: max(0, len(last) - half)]) + last[half:]))
+            if length >> k & 1:
+                out = mix(out ^ self._ladder[k][place])
+                place = place + (1 << k)
+        return out
 
     def anchors(self, length: int) -> np.ndarray:
         """Positions of the cover whose run lies in its text."""

@@ -8,6 +8,7 @@ the same on every machine, and computed without a Python object per word.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 17
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, dtype=U64), "i": np.ones(1, dtype=U64)}
+_LONG = 64
 
 
 def release() -> None:
@@ -44,20 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x632BE59BD9B4E019))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers["p"]) < n:
-        m = max(n, 2 * len(_powers["p"]))
-        for key, base in (("p", _BASE), ("i", _BASE_INV)):
-            steps = np.full(m, base & (1 << 64) - 1, dtype=U64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U64)
-    return _powers["p"][:n], _powers["i"][:n]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of each text); a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,23 +70,52 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         at = to
 
 
+def _blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on, as one number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; spans are in order and do not overlap."""
-    out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(int(np.searchsorted(ends, lo + _BLOCK, side="right")), i + 1)
-        hi = ends[j - 1]
-        p, inv = powers(int(hi - lo) + 1)
-        sums = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum(_BYTE[buf[lo:hi]] * p[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        i = j
+    """Hash of each byte span: its blocks of eight bytes are mixed in one after the other, so texts built against sums of powers do no harm.
+
+    Spans of over 64 bytes, few in any text, are digested one by one.
+    """
+    size = ends - starts
+    blocks = _blocks(buf)
+    out = mix(size.astype(U64) * U64(_BASE) + U64(1))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (blocks[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return out
 
 
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``buf`` has the bytes of the span beside it of ``other``."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    mine, theirs = _blocks(buf), _blocks(other)
+    live = np.flatnonzero(same & (size <= _LONG) & (size > 0))
+    a, b, left = starts[live], other_starts[live], size[live]
+    while len(live):
+        ok = (mine[a] ^ theirs[b]) & _MASK[np.minimum(left, 8)] == 0
+        same[live[~ok]] = False
+        more = ok & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i in np.flatnonzero(same & (size > _LONG)).tolist():
+        same[i] = np.array_equal(buf[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    return same
+
+
 class Words:
     """Words of a slice of texts: byte spans, hashes, and the first word of each text."""
 
