@@ -4,12 +4,14 @@
 tags, locks on to a frame header only where the next header (or the end of the
 audio) follows at the computed distance, searches for the next such place after
 damage, reads Xing/Info and VBRI tables, verifies the CRC-16 of protected
-frames, and keeps exact durations (samples over sample rate) and the byte
-offset of every frame.
+frames of all three layers, measures the frames of free-format streams, and keeps
+exact durations (samples over sample rate) and the byte offset of every frame.
 
 ``store_payload`` writes arbitrary bytes as a valid MPEG-1 Layer III stream:
 each frame holds silence (side information of zeros) and carries the bytes as
-ancillary data, its format's unit. ``load_payload`` reads them back.
+ancillary data, its format's unit. The last frame carries none, so nothing of the
+payload lies where tags at the end of a file are looked for. ``load_payload`` reads
+the bytes back.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,14 @@ _KBPS = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _HZ = {0: (11025, 12000, 8000), 2: (22050, 24000, 16000), 3: (44100, 48000, 32000)}
+# Fixed values of 11172-3 tables B.2a-d and 13818-3 table B.1: bits of a Layer II allocation, by subband.
+_LAYER_2 = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
 _CRC_TABLE = []
 for _i in range(256):
     _c = _i << 8
@@ -54,8 +64,10 @@ class Header:
     hz: int
     channels: int
     samples: int
-    length: int  # bytes of the frame
+    length: int  # bytes of the frame; 0 where the format is free
     side: int  # bytes of side information (Layer III)
+    pad: int = 0  # bytes of padding
+    bound: int = 32  # first subband that both channels share
 
 
 @dataclass
@@ -94,33 +106,70 @@ _headers: dict[bytes, Header | None] = {}
 
 
 def parse_header(four: bytes) -> Header | None:
-    """The frame header in four bytes, None where they are none (free format counts as none)."""
+    """The frame header in four bytes, None where they are none."""
     if four in _headers:
         return _headers[four]
     found = None
     if len(four) == 4 and four[0] == 0xFF and four[1] & 0xE0 == 0xE0:
         version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
         rate, speed, pad = four[2] >> 4, four[2] >> 2 & 3, four[2] >> 1 & 1
-        if version != 1 and layer < 4 and 0 < rate < 15 and speed < 3:
+        if version != 1 and layer < 4 and rate < 15 and speed < 3:
             kbps, hz = _KBPS[1 if version == 3 else 2, layer][rate], _HZ[version][speed]
             mono = four[3] >> 6 == 3
             samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
-            length = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
+            length = 0 if not rate else (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
             side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-            found = Header(version, layer, not four[1] & 1, kbps, hz, 1 if mono else 2, samples, length, side)
+            found = Header(version, layer, not four[1] & 1, kbps, hz, 1 if mono else 2, samples, length, side, 4 * pad if layer == 1 else pad, 4 + 4 * (four[3] >> 4 & 3) if four[3] >> 6 == 1 else 32)
     if len(_headers) < 100_000:
         _headers[four] = found
     return found
 
 
-def crc16(data: bytes) -> int:
-    """CRC-16 of MPEG audio: polynomial 0x8005, start 0xFFFF, most significant bit first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of MPEG audio (polynomial 0x8005, start 0xFFFF, most significant bit first) of the first ``bits``, all by default."""
+    bits = 8 * len(data) if bits is None else bits
     c = 0xFFFF
-    for b in data:
+    for b in data[: bits // 8]:
         c = (c << 8 & 0xFFFF) ^ _CRC_TABLE[c >> 8 ^ b]
+    for k in range(bits % 8):
+        top = (c >> 15) ^ (data[bits // 8] >> (7 - k) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return c
 
 
+def _checked_bits(h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers; ``body`` starts there."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.bound * h.channels + (32 - h.bound)) if h.channels == 2 else 4 * 32
+    per = h.kbps // h.channels
+    if h.version != 3:
+        kind = "low"
+    elif per >= 96 or (h.hz == 48000 and per >= 56):
+        kind = "a" if h.hz == 48000 else "b"
+    elif per >= 56:
+        kind = "a"
+    else:
+        kind = "d" if h.hz == 32000 else "c"
+    word, size, at, factors = int.from_bytes(body[:64], "big"), 8 * len(body[:64]), 0, 0
+    for band, bits in enumerate(_LAYER_2[kind]):
+        for _ in range(h.channels if band < h.bound else 1):
+            at += bits
+            if at <= size and word >> (size - at) & ((1 << bits) - 1):
+                factors += h.channels if band >= h.bound else 1
+    return at + 2 * factors
+
+
+def _crc_holds(frame: bytes, h: Header) -> bool:
+    bits = _checked_bits(h, frame[6:])
+    if 48 + bits > 8 * len(frame):
+        return False
+    if h.layer == 3:
+        return _crc_of(frame[2:4] + frame[6 : 6 + h.side]) == frame[4] << 8 | frame[5]
+    return crc16(frame[2:4] + frame[6 : 6 + (bits + 7) // 8], 16 + bits) == frame[4] << 8 | frame[5]
+
+
 _crcs: dict[bytes, int] = {}
 
 
@@ -203,29 +252,56 @@ def _table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _alike(a: Header, b: Header | None) -> bool:
+    return b is not None and (a.layer, a.hz, a.version, not a.kbps) == (b.layer, b.hz, b.version, not b.kbps)
+
+
+def _free_length(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of a free-format frame without padding: the distance to the next header like it that another one, or the end, follows at the same distance. 0 if there is none."""
+    farthest = min(end, at + (448 if h.layer == 1 else 384) * 1000 * h.samples // (8 * h.hz) + 8)
+    p = at
+    while (p := data.find(data[at : at + 2], p + 1, farthest)) > 0:
+        n = parse_header(data[p : p + 4])
+        size = p - at - h.pad
+        if _alike(h, n) and size >= 4 + h.side:
+            after = p + size + n.pad
+            if after == end or _alike(h, parse_header(data[after : after + 4])):
+                return size
+    return 0
+
+
+def _sized(h: Header, free: int) -> Header:
+    """A free-format header with its frame's length and rate; others as they are."""
+    return h if h.kbps or not free else replace(h, length=free + h.pad, kbps=round(free * 8 * h.hz / h.samples / 1000) or 1)
+
+
 def _locked(data: bytes, at: int, end: int, like: Header | None) -> Header | None:
     """The header at ``at`` if the audio goes on, or ends, where its frame ends."""
     h = parse_header(data[at : at + 4])
-    if h is None or at + h.length > end or (like and (h.layer, h.hz, h.version) != (like.layer, like.hz, like.version)):
+    if h is None or (like and not _alike(like, h)):
+        return None
+    to = at + (h.length or (like.length - like.pad + h.pad if like else 0))
+    if not h.length and not like:
+        free = _free_length(data, at, end, h)
+        if not free:
+            return None
+        to = at + free + h.pad
+    if to > end:
         return None
-    to = at + h.length
-    if to == end:
-        return h
-    n = parse_header(data[to : to + 4])
-    return h if n and (n.layer, n.hz, n.version) == (h.layer, h.hz, h.version) else None
+    return h if to == end or _alike(h, parse_header(data[to : to + 4])) else None
 
 
 def parse_mpeg(data: bytes) -> Stream:
     """Scan one stream. Bytes that are no audio give a stream of no frames."""
     s = Stream()
     at, end = _id3v2(data, 0, s.tags), _tail(data, s.tags)
-    like: Header | None = None
-    lost = False
+    like: Header | None = None  # the first frame; of free format: with kbps 0 and its length
+    lost, free = False, 0
     while at + 4 <= end:
         h = _locked(data, at, end, like)
         if h is None and like is not None and not lost:  # the last good frame before damage may be followed by anything
             h = parse_header(data[at : at + 4])
-            if h and (at + h.length > end or (h.layer, h.hz, h.version) != (like.layer, like.hz, like.version)):
+            if h and (at + _sized(h, free).length > end or not _alike(like, h)):
                 h = None
         if h is None:
             tagged = _id3v2(data, at, s.tags)
@@ -239,12 +315,15 @@ def parse_mpeg(data: bytes) -> Stream:
             lost, at = True, nxt
             continue
         lost = False
-        if h.protected and h.layer == 3:
-            head = data[at : at + 6 + h.side]
+        if like is None and not h.kbps:
+            free = _free_length(data, at, end, h)
+            like = replace(h, length=free + h.pad)
+        first, h = s.layer == 0, _sized(h, free)
+        if h.protected:
             s.crc_checked += 1
-            s.crc_failed += _crc_of(head[2:4] + head[6:]) != head[4] << 8 | head[5]
-        if like is None:
-            like, s.hz, s.channels, s.layer = h, h.hz, h.channels, h.layer
+            s.crc_failed += not _crc_holds(data[at : at + h.length], h)
+        if first:
+            like, s.hz, s.channels, s.layer = like or h, h.hz, h.channels, h.layer
             s.vbr = _table(data[at : at + h.length], h) if h.layer == 3 else None
             if s.vbr:  # the table's frame is no audio
                 at += h.length
@@ -277,6 +356,7 @@ def store_payload(payload: bytes) -> bytes:
         part = payload[at : at + full]
         i = 14 if len(part) == full else next(i for i in range(1, 15) if _ROOM[i] >= len(part))
         body += [_HEAD[i], part, bytes(_ROOM[i] - len(part))]
+    body += [_HEAD[1], b"", bytes(_ROOM[1])]
     audio = b"".join(body)
     frames = len(body) // 3
     room = next(i for i in range(1, 15) if _ROOM[i] >= 116)
