@@ -2,10 +2,12 @@
 
 Each rule rejects a document or passes it on. A document is kept when no rule
 rejects it, so the order of the rules never changes the verdict, only the work.
-The driver measures every rule's cost and selectivity on a bounded sample of
-documents (``sample_rows``) and orders the rules by rejections per unit of cost;
-the executors then run them in that order, and each rule sees only what the
-rules before it let through.
+Every rule's cost and selectivity are measured on a sample of about ``sample_rows``
+documents, chosen by a hash of their text, and the rules are ordered by rejections
+per unit of cost. Cost is counted work (bytes and words that the rule's features go
+through), not seconds, so the order is the same in every run. The executors then run
+the rules in that order: each sees only what the rules before it let through, and
+features that are already there are filtered, not computed again.
 
 Null and empty texts have no words and are rejected by ``few_words``. Words are
 runs outside space and 0x09-0x0D; whole texts are read.
@@ -13,7 +15,6 @@ runs outside space and 0x09-0x0D; whole texts are read.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,11 +35,15 @@ _ALPHA[97:123] = True
 
 
 class View:
-    """Texts of some documents with features computed when first asked for."""
+    """Texts of some documents with features computed when first asked for; ``work`` counts what that took."""
 
-    def __init__(self, texts: pa.Array):
+    #: Features that are arrays over texts along their last axis: they survive a filter.
+    BY_TEXT = ("n_words", "word_chars", "n_symbols", "n_upper", "n_alpha", "lines", "n_dup_lines", "n_repeat_words")
+
+    def __init__(self, texts: pa.Array, cache: dict | None = None, work: list[int] | None = None):
         self.texts = texts
-        self._cache: dict[str, np.ndarray] = {}
+        self._cache: dict = cache if cache is not None else {}
+        self.work = work if work is not None else [0]
 
     def get(self, name: str):
         if name not in self._cache:
@@ -49,21 +54,31 @@ class View:
         return len(self.texts)
 
     def where(self, mask: np.ndarray) -> View:
-        return self if mask.all() else View(self.texts.filter(pa.array(mask)))
+        """The texts of ``mask``, with what is known of each."""
+        if mask.all():
+            return self
+        known = {k: v[..., mask] for k, v in self._cache.items() if k in self.BY_TEXT}
+        return View(self.texts.filter(pa.array(mask)), known, self.work)
 
     def _buffer(self):
         return text_buffer(self.texts)
 
+    def _did(self, passes: int) -> None:
+        self.work[0] += passes * len(self.get("buffer")[0])
+
     def _per_text(self, flags: np.ndarray) -> np.ndarray:
         off = self.get("buffer")[1]
+        self._did(2)
         sums = np.zeros(len(flags) + 1, dtype=np.int64)
         np.cumsum(flags, out=sums[1:])
         return sums[off[1:]] - sums[off[:-1]]
 
     def _words(self) -> Words:
+        self._did(4)
         return Words(*self.get("buffer"), hashes=False)
 
     def _hashed(self) -> Words:
+        self._did(8)
         return Words(*self.get("buffer"))
 
     def _n_words(self) -> np.ndarray:
@@ -86,6 +101,7 @@ class View:
         """Row 0: lines with a word; row 1: those equal to an earlier line."""
         buf, off = self.get("buffer")
         data = buf.tobytes()
+        self._did(3)
         out = np.zeros((2, len(self)), dtype=np.int64)
         for i in range(len(self)):
             lines = [x for x in data[off[i] : off[i + 1]].split(b"\n") if x.strip()]
@@ -97,6 +113,7 @@ class View:
 
     def _n_repeat_words(self) -> np.ndarray:
         words = self.get("hashed")
+        self.work[0] += 40 * len(words.hashes)
         grams, valid = words.grams(3)
         keys = grams ^ mix(words.doc_of_word().astype(U64) + U64(1))
         at = np.flatnonzero(valid)
@@ -158,21 +175,32 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def estimate_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[dict]:
-    """Cost (seconds a row) and selectivity (share rejected) of each rule on a sample, best first.
+    """Cost (work a row) and selectivity (share rejected) of each rule on a sample, best first.
 
-    The sample is bounded by ``sample_rows`` and guides the order alone.
+    About ``sample_rows`` rows are measured where they lie, chosen by a hash of the text; only
+    sums come to the driver. The sample guides the order alone.
     """
+    ship_package(docs.sparkSession)
     texts = docs.select("text")
-    rows = texts.sample(0.1, seed=7).limit(sample_rows).collect() or texts.limit(sample_rows).collect()
-    sample = pa.array([r[0] for r in rows], type=pa.string())
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = []
+                for rule in rules:
+                    view = View(part.column(0))
+                    found.append((int(rule.rejects(view).sum()), view.work[0]))
+                yield pa.record_batch({"rule": pa.array([r.name for r in rules]), "n": pa.array([len(part)] * len(rules), pa.int64()), "rejected": pa.array([x for x, _ in found], pa.int64()), "work": pa.array([w for _, w in found], pa.int64())})
+
+    sums = chosen.mapInArrow(run, "rule string, n long, rejected long, work long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "work")))
+    seen = {r["rule"]: r for r in sums.collect()}
     found = []
     for rule in rules:
-        view = View(sample)
-        began = time.perf_counter()
-        rejected = int(rule.rejects(view).sum()) if len(view) else 0
-        cost = (time.perf_counter() - began) / max(1, len(view))
-        share = (rejected + 0.5) / (len(view) + 1)
-        found.append({"rule": rule.name, "cost": cost, "selectivity": share, "gain": share / max(cost, 1e-9)})
+        n, rejected, work = (seen[rule.name][c] for c in ("n", "rejected", "work")) if rule.name in seen else (0, 0, 0)
+        cost, selectivity = work / max(1, n), (rejected + 0.5) / (n + 1)
+        found.append({"rule": rule.name, "cost": cost, "selectivity": selectivity, "gain": selectivity / max(cost, 1e-9)})
     return sorted(found, key=lambda x: (-x["gain"], x["rule"]))
 
 
