@@ -6,10 +6,11 @@ of its terms. The machine adds to the linear weights a product of factors for
 each pair of terms, so an insult beside a group mention counts for more (or
 less) than the two alone.
 
-It is fitted on the driver on at most about ``max_rows`` labelled rows (a hash
-of doc_id chooses them); buckets whose frequency in either class does not differ
-by ``min_z`` standard errors keep weight zero. Scoring reads whole texts; a null or
-empty text has no terms and the score of the bias alone.
+It is fitted on the driver on about ``max_rows`` labelled rows and ``max_bytes`` of
+their text at most (a hash of doc_id chooses them). Every bucket that occurs in
+``support`` of these rows has a weight and factors, whatever its classes: a term that is
+neutral alone may count in a pair. Scoring reads whole texts; a null or empty text has no
+terms and the score of the bias alone. A null doc_id is never learned from.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.textblocks import LOWER, U64, mix, pieces, span_hashes, text_buffer
-from strandloom.runtime import ship_package
+from strandloom.runtime import checkpoint, ship_package
 
 BITS, PREFIXES = 18, (4, 5, 6)
 _LETTER = np.zeros(256, dtype=bool)
@@ -75,24 +76,29 @@ class Machine:
         return out
 
 
-def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, min_z: float = 4.0, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Logistic loss, AdaGrad over mini-batches; ``sets`` holds each row's distinct buckets."""
+def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, support: int = 40, epochs: int = 10, rate: float = 0.5, decay: float = 1e-3, start: float = 1e-2, still: float = 0.3, sparse: float = 0.1, seed: int = 11) -> Machine:
+    """Logistic loss over mini-batches; ``sets`` holds each row's distinct buckets.
+
+    Weights follow the regularized leader, so those of terms that tell nothing stay zero
+    (``sparse``). Factors join in the second half of the epochs, with AdaGrad steps that ``still``
+    keeps small: they learn what the weights leave open. Only buckets in fewer than ``support`` rows are left out, and those in all rows, which tell nothing.
+    """
     y = labels.astype(np.float64)
     pos, neg = max(y.sum(), 0), max((1 - y).sum(), 0)
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     bucket = np.concatenate([np.zeros(0, dtype=np.int64), *sets]).astype(np.int64)
-    a = np.bincount(bucket, y[doc], minlength=1 << BITS)
-    b = np.bincount(bucket, 1 - y[doc], minlength=1 << BITS)
-    odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
-    chosen = np.flatnonzero((a + b > 0) & (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > min_z))
+    seen = np.bincount(bucket, minlength=1 << BITS)
+    chosen = np.flatnonzero((seen >= min(support, max(1, len(sets) // 20))) & (seen < len(sets)))
     slot = np.full(1 << BITS, -1, dtype=np.int64)
     slot[chosen] = np.arange(len(chosen))
     bias = float(np.log((pos + 0.5) / (neg + 0.5)))
     rng = np.random.default_rng(seed)
     m = Machine(slot, bias, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)))
     rows = [slot[s][slot[s] >= 0] for s in sets]
-    gb, gw, gv = 1e-6, np.full(len(chosen), 1e-6), np.full((len(chosen), factors), 1e-6)
-    for _ in range(epochs):
+    gb, gw, gv = start, np.full(len(chosen), start), np.full((len(chosen), factors), still)
+    pull = np.zeros(len(chosen))
+    epochs = max(epochs, 300 // max(1, -(-len(rows) // 256)))  # few rows are gone through more often
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             part = order[at : at + 256]
@@ -104,10 +110,14 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, mi
             if not len(s):
                 continue
             used, back = np.unique(s, return_inverse=True)
-            step = np.bincount(back, err[d]) + decay * m.weight[used]
+            step = np.bincount(back, err[d])
+            before = np.sqrt(gw[used])
             gw[used] += step**2
-            new_weight = m.weight[used] - rate * step / np.sqrt(gw[used])
-            for f in range(factors):
+            after = np.sqrt(gw[used])
+            pull[used] += step - (after - before) / rate * m.weight[used]
+            z = pull[used]
+            new_weight = np.where(np.abs(z) <= sparse, 0.0, (np.sign(z) * sparse - z) / (after / rate + decay))
+            for f in range(factors if 2 * epoch >= epochs else 0):
                 v = m.factor[s, f]
                 total = np.bincount(d, v, minlength=len(part))
                 step = np.bincount(back, err[d] * (total[d] - v)) + decay * m.factor[used, f]
@@ -117,16 +127,24 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, mi
     return m
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct buckets and label of about ``max_rows`` labelled rows at most.
+def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes: int = 64 << 20) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct buckets and label of about ``max_rows`` labelled rows with ``max_bytes`` of text at most.
 
     ``labels`` has doc_id and toxic; the chosen ids are broadcast, so that side has the
-    bound ``max_rows`` (checked) and the texts are not shuffled.
+    bound ``max_rows`` (checked) and the texts are not shuffled. If their texts are too
+    long together, fewer rows are chosen, and none that alone has a sixteenth of the bytes.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     share = min(1.0, 0.95 * max_rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    fits = F.octet_length("text") <= max_bytes // 16
+    for _ in range(2):
+        chosen = checkpoint(known.where(place < int(share * 1_000_000)).limit(max_rows))
+        rows = docs.select("doc_id", "text").where(F.coalesce(fits, F.lit(True))).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        if size <= max_bytes:
+            break
+        share *= 0.9 * max_bytes / size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
