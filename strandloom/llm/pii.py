@@ -2,15 +2,17 @@
 
 Base spans follow fixed rules (e-mail, ip, card with Luhn, phone). Two generators
 of high recall propose further, overlapping spans: ``number`` (groups of digits with
-separators) and ``secret`` (long identifiers with a digit). Boosted trees score each
+separators, seven characters or more) and ``secret`` (identifiers of sixteen characters
+or more with a digit); neither has an upper length. Boosted trees score each
 candidate from its format and the words before it. They are fitted on counts of
 candidates by feature vector over all documents, so the fit needs one aggregation
 of bounded size and no sample. Labels are weak: a number is positive if it overlaps
 a valid base span (the sign that makes a phone number valid is no feature), a secret if a
 word such as ``password`` stands before it (that word is no feature of secrets).
-For each generator the lowest score with a precision of ``precision`` on these
-labels, by the lower end of its confidence interval, selects redactions; without one
-nothing is added. Base spans always stay.
+Thresholds are calibrated on other texts than the trees are fitted on (a hash of the text
+deals them): for each generator the lowest score with a precision of ``precision`` on the
+held-out labels, by the lower end of its confidence interval, selects redactions; without
+one nothing is added. Base spans always stay.
 
 The patterns are written so that their matching stays linear in the text: a failing
 run of characters is left as a whole. Positions are code points, ends exclusive. A
@@ -38,13 +40,15 @@ PATTERNS = {
     "card": r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?(?![0-9]|[\x20-][0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![A-Za-z0-9_])\(?[0-9][0-9\x20().-]{5,28}[0-9](?![A-Za-z0-9_])",
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,64}(?![A-Za-z0-9_])",
+    "number": r"(?<![A-Za-z0-9_])\(?[0-9]++(?![A-Za-z_])(?:[\x20().-]++[0-9]++(?![A-Za-z_]))*+",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
 }
 _NEEDS = {"email": "@", "phone": "+"}
 _SECRET_WORDS = r"(?i)(password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\x20\x22']*[=:]?[\x20\x22']*$"
 _NUMBER_WORDS = r"(?i)(tel|telefon|phone|call|mobile|fax|card|visa|account|konto|ssn|iban)[.:#\x20]*\+?[0-9]{0,2}[\x20]?$"
 _CHUNK = 64
+#: One text in so many calibrates the thresholds and is not fitted on.
+HELD = 3
 FEATURES = ("number", "digits", "length", "parens", "hyphen", "dot", "space", "letters", "upper", "hex", "word")
 
 
@@ -106,6 +110,8 @@ def _valid(kind: str, found: Column) -> Column:
         return F.when((F.length(d) >= 16) & (F.length(d) <= 19), _luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(found)).between(8, 15)
+    if kind == "number":
+        return F.length(found) >= 7
     return F.lit(True)
 
 
@@ -125,7 +131,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """Adds ``proposed``: generated spans with features (small integers) and the weak label, to rows of ``base_spans``."""
     for kind in GENERATORS:
-        rows = _with_matches(rows, kind)
+        rows = _with_matches(rows, kind).withColumn(kind, _valid_only(kind))
     rows = rows.withColumn("_base", F.concat(*KINDS))
 
     def describe(kind: str):
@@ -203,8 +209,8 @@ def _best_split(rows: list[tuple], grads: list[tuple[float, float]]) -> tuple:
     return best
 
 
-def fit_trees(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 20, rate: float = 0.3, precision: float = 0.95) -> Trees:
-    """Fit on (feature vector, candidates, positives), and set each generator's threshold."""
+def fit_trees(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 20, rate: float = 0.3, precision: float = 0.95, held: list[tuple[tuple[int, ...], int, int]] | None = None) -> Trees:
+    """Fit on (feature vector, candidates, positives), and set each generator's threshold on ``held`` (without it, on the same)."""
     rows = sorted(counts)
     n, p = sum(c for _, c, _ in rows), sum(q for _, _, q in rows)
     model = Trees(math.log((p + 0.5) / (n - p + 0.5)))
@@ -220,8 +226,9 @@ def fit_trees(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 20,
             sides.append((g, c, rate * low, rate * high))
         model.trees.append((f, cut, *sides))
         scores = [model.score(dict(zip(FEATURES, x))) for x, _, _ in rows]
+    judged = [(model.score(dict(zip(FEATURES, x))), x, c, q) for x, c, q in (rows if held is None else sorted(held))]
     for kind in GENERATORS:
-        own = sorted(((s, c, q) for s, (x, c, q) in zip(scores, rows) if x[0] == (kind == "number")), reverse=True)
+        own = sorted(((s, c, q) for s, x, c, q in judged if x[0] == (kind == "number")), reverse=True)
         total = good = 0
         for s, c, q in own:
             total, good = total + c, good + q
@@ -234,9 +241,11 @@ def fit_trees(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 20,
 
 def fit_pii(docs: DataFrame, precision: float = 0.95) -> Trees:
     """Trees and thresholds from candidate counts over all of ``docs``; the driver gets one row for each feature vector."""
-    spans = candidates(base_spans(docs.select("text"))).where(F.size("proposed") > 0).select(F.explode("proposed").alias("s"))
-    counts = spans.groupBy(*(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), F.sum("s.label").alias("positive")).collect()
-    return fit_trees([(tuple(r[f] for f in FEATURES), r["n"], r["positive"]) for r in counts], precision=precision)
+    rows = docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"))
+    spans = candidates(base_spans(rows)).where(F.size("proposed") > 0).select("held", F.explode("proposed").alias("s"))
+    counts = spans.groupBy("held", *(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), F.sum("s.label").alias("positive")).collect()
+    fold = lambda held: [(tuple(r[f] for f in FEATURES), r["n"], r["positive"]) for r in counts if r["held"] == held]
+    return fit_trees(fold(False), precision=precision, held=fold(True))
 
 
 def find_pii(docs: DataFrame, model: Trees) -> DataFrame:
