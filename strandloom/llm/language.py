@@ -187,13 +187,19 @@ def fit_models(texts: dict[str, list[str]], discount: float = 0.75, held: int =
     return m
 
 
-def sample_texts(docs: DataFrame, rows_per_lang: int = 300) -> dict[str, list[str]]:
-    """About ``rows_per_lang`` whole texts of each non-null lang at most, in doc_id order."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def sample_texts(docs: DataFrame, rows_per_lang: int = 300, bytes_per_lang: int = 4 << 20, max_langs: int = 1000) -> dict[str, list[str]]:
+    """About ``rows_per_lang`` whole texts and ``bytes_per_lang`` of each non-null lang at most, in doc_id order.
+
+    A text that alone has an eighth of the bytes is not learned from. More than ``max_langs``
+    values of lang are an error: that column holds no languages then.
+    """
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= bytes_per_lang // 8)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).limit(max_langs + 1).collect()
     if not counts:
         raise ValueError("no labelled rows to learn languages from")
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, rows_per_lang / n))))])
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} values of lang")
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(1_000_000 * min(1.0, rows_per_lang / r["n"], bytes_per_lang / max(1, r["bytes"])))))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")])
     out: dict[str, list[str]] = {}
     for r in sorted(chosen.select("doc_id", "lang", "text").collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):

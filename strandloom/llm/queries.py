@@ -58,7 +58,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(parts: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+    """The remainder of crc32 of a row's doc_id as text; a null one counts as empty."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.span_string(pii.span_list()), 256).alias("base_sha256"),
         pii.span_string(pii.span_list(added=True)).alias("spans"),
+        *(F.size(F.filter("added", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.GENERATORS),
+        (F.size(pii.span_list(added=True))).cast("long").alias("n_spans"),
     )
 
 
@@ -109,8 +112,50 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts of every text and the cascade's verdict."""
-    return quality.quality_features(table(spark, sf_dir, "documents"))
+    """Base counts of every text and the cascade's verdict; which rule rejected a text first is left to the operator."""
+    return quality.quality_features(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+_W = "'[^\\x20\\x09-\\x0D]+'"
+_TEXTS = f"""t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, {_W}) AS words FROM t)"""
+
+OP8_SQL = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, doc_id, regexp_extract_all(text, {_W}) AS words FROM t),
+s AS MATERIALIZED (SELECT DISTINCT row, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) WHEN len(words) > 0 THEN ['short ' || len(words) || ' ' || array_to_string(words, ' ')] ELSE [] END) AS gram FROM w),
+n AS MATERIALIZED (SELECT row, count(*) AS n FROM s GROUP BY row),
+i AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.row <> b.row GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT row AS node, row AS other FROM t UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a),
+g AS (SELECT node, min(t.doc_id) AS component_id FROM reach JOIN t ON t.row = other GROUP BY node)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM t JOIN g ON g.node = t.row LEFT JOIN n ON n.row = t.row
+"""
+
+OP9_SQL = f"""
+WITH {_TEXTS},
+p AS MATERIALIZED (SELECT row, pos, array_to_string(words[pos:pos + 34], ' ') AS passage FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS pos FROM w)),
+again AS (SELECT row, pos FROM p JOIN (SELECT passage FROM p GROUP BY passage HAVING count(*) > 1) USING (passage)),
+gone AS (SELECT DISTINCT row, pos + d AS pos FROM again, range(0, 35) r(d)),
+every AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM every ANTI JOIN gone USING (row, pos) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (row)
+"""
+
+OP10_SQL = f"""
+WITH {_TEXTS},
+g AS (SELECT row, pos, array_to_string(words[pos:pos + 2], ' ') AS gram FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS pos FROM w)),
+h AS (SELECT row, pos, count(*) OVER (PARTITION BY row, gram) AS n FROM g),
+r AS (SELECT row, count(DISTINCT pos + d) AS n FROM h, range(0, 3) x(d) WHERE h.n > 1 GROUP BY row),
+l AS (SELECT row, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY row),
+b AS (SELECT row, doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0) AS lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS alpha
+  FROM w LEFT JOIN l USING (row) LEFT JOIN r USING (row)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * upper > 4 * alpha OR 2 * n_dup_lines > lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept FROM f
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -129,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_mixing": mixing.draw_sql()}
+    return {"op1_chat_format": OP1_SQL, "op2_mixing": mixing.draw_sql(), "op8_ngram_jaccard": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}

@@ -129,6 +129,48 @@ def test_language_entropy_ignores_neighbours():
     assert np.allclose(alone, m.entropies(pa.array(TEXTS))[0])
 
 
+def test_language_models_equal_plain_kneser_ney():
+    """Interpolated Kneser-Ney by the book, on strings."""
+    texts = {"a": [prose(12, s) for s in range(6)], "b": ["schau gelb zug " * 3, "über zug"]}
+    m, d, order = language.fit_models(texts, held=99), 0.75, language.ORDER
+    gap = "\0" * (order - 1)
+
+    def symbols(t):
+        return gap + "".join(re.sub(r"[^\W\d_]|(.)", lambda x: x[0].lower() if x[1] is None else "\0", t)) if t else gap
+
+    def squeezed(t):  # one gap between letter runs, none before the first
+        body = re.sub("\0+", "\0", symbols(t)[order - 1 :]).lstrip("\0")
+        return gap + body
+
+    alphabet = max(2, len({c for ts in texts.values() for i, t in enumerate(ts) if i % 99 or len(ts) < 99 for c in squeezed(t)[order - 1 :]}) + 1)
+    for k, lang in enumerate(m.langs):
+        grams = Counter()
+        for t in texts[lang]:
+            s = squeezed(t)
+            for i in range(order - 1, len(s)):
+                grams[s[i - order + 1 : i + 1]] += 1
+        counts = {order: grams}
+        longer = set(grams)
+        for n in range(order - 1, 0, -1):
+            counts[n] = Counter(g[1:] for g in longer)
+            longer = set(counts[n])
+
+        def prob(g, counts=counts):
+            if not g:
+                return 1 / alphabet
+            c = counts[len(g)]
+            same = [x for x in c if x[:-1] == g[:-1]]
+            if not same:
+                return prob(g[1:])
+            total = sum(c[x] for x in same)
+            return max(c[g] - d, 0) / total + min(1.0, d * len(same) / total) * prob(g[1:])
+
+        for t in ("zug über stone", prose(4, 91)):
+            s = squeezed(t)
+            want = -sum(np.log2(prob(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))) / (len(s) - order + 1)
+            assert abs(m.entropies(pa.array([t]))[0][0, k] - want) < 1e-9
+
+
 # 4 media
 @pytest.mark.parametrize("n", [0, 1, 64, 1417, 1418, 50_000])
 def test_media_round_trip(n):
@@ -160,7 +202,97 @@ def test_media_resynchronises_and_checks(spark, docs, empty):
     assert media.text_as_media(empty).count() == 0
 
 
+@pytest.mark.parametrize("tag", [b"TAG", b"APETAGEX", b"ID3\x04\x00\x00\x00\x00\x00\x7f"])
+def test_media_payload_may_look_like_tags(tag):
+    for n in (64, 128, 192):
+        for at in range(n - len(tag) + 1):
+            payload = bytearray(random.Random(at).randbytes(n))
+            payload[at : at + len(tag)] = tag
+            got, s = media.load_payload(media.store_payload(bytes(payload)))
+            assert got == bytes(payload) and s.resyncs == s.crc_failed == 0
+
+
+def test_media_query_equals_brute_force(spark, docs):
+    import zlib
+
+    found = media.payload_digests(media.text_as_media(docs))
+    stored = {r.doc_id: bytes(r.media) for r in media.text_as_media(docs).where("doc_id IS NOT NULL").collect()}
+    for r in found.where("doc_id IS NOT NULL").collect():
+        raw = (TEXTS[r.doc_id] or "").encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(padded[-64:]), len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        assert f"frames={-(-len(padded) // media._ROOM[14]) + 1};" in r.feature
+
+
+def test_media_free_format():
+    frames = [bytes((0xFF, 0xFB, 2 << 2 | 2 * (k % 3 == 1), 0xC4)) + bytes(196 + (k % 3 == 1)) for k in range(7)]
+    s = media.parse_mpeg(b"junk" * 5 + b"".join(frames))
+    assert s.frames == 7 and s.samples == 7 * 1152 and s.resyncs == 1 and s.offsets[1] - s.offsets[0] == 200 and s.offsets[2] - s.offsets[1] == 201
+    assert media.parse_mpeg(frames[0]).frames == 0  # one frame alone tells no length
+
+
+def crc_by_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+@pytest.mark.parametrize(("layer", "mode"), [(1, 0), (1, 3), (1, 1), (2, 0), (2, 3), (2, 1)])
+def test_media_checksums_of_layers_one_and_two(layer, mode):
+    header = bytes((0xFF, 0xF8 | (4 - layer) << 1, 8 << 4, mode << 6))  # MPEG-1, protected, 44.1 kHz
+    h = media.parse_header(header)
+    rng = random.Random(layer * 10 + mode)
+    body = bytearray(rng.randbytes(h.length - 6))
+    bits = [int(x) for x in "".join(f"{b:08b}" for b in body)]
+    channels, bound = (1 if mode == 3 else 2), (4 if mode == 1 else 32)
+    if layer == 1:
+        n = 4 * (bound * channels + (32 - bound if channels == 2 else 0))
+    else:
+        per = h.kbps // channels
+        table = [4] * 11 + [3] * 12 + [2] * (7 if per >= 96 else 4)
+        n = factors = 0
+        for band, size in enumerate(table):
+            for _ in range(channels if band < bound else 1):
+                factors += (1 if band < bound or channels == 1 else 2) * any(bits[n : n + size])
+                n += size
+        n += 2 * factors
+    crc = crc_by_bits([int(x) for x in "".join(f"{b:08b}" for b in header[2:])] + bits[:n])
+    frame = header + crc.to_bytes(2, "big") + bytes(body)
+    s = media.parse_mpeg(frame * 3)
+    assert (s.frames, s.crc_checked, s.crc_failed) == (3, 3, 0)
+    bad = bytearray(frame * 3)
+    bad[7] ^= 0x10
+    assert media.parse_mpeg(bytes(bad)).crc_failed == 1
+
+
 # 5 BPE
+def thue_morse(n):
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_of_one_hash_keep_their_own_tokens(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(queries.TOKENIZER)
+    x = thue_morse(10)
+    y = x.translate(str.maketrans("ab", "ba"))
+    texts = [x, y, f"{x} {y}", "q" * 64 + " " + "q" * 65, *(t or "" for t in TEXTS)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    with open(queries.TOKENIZER, "rb") as f:
+        raw = f.read()
+    assert [g.tolist() for g in bpe.Bpe(raw).encode_batch(texts)] == want
+    h = Words(*text_buffer(pa.array([x, y]))).hashes
+    assert h[0] != h[1]
+    real = bpe.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *a: real(*a) & np.uint64(63))  # nearly every word meets another
+    own = bpe.Bpe(raw)
+    for _ in range(2):
+        assert [g.tolist() for g in own.encode_batch(texts)] == want
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(queries.TOKENIZER)
@@ -218,7 +350,76 @@ def test_pii_trees_learn_and_hold_precision():
     assert m.score(as_map(good)) >= m.thresholds["number"] > m.score(as_map(bad)) and "secret" not in m.thresholds
 
 
+def test_pii_candidates_have_no_upper_length(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aZ_09 .-()+5\n") for _ in range(400)) for _ in range(60)]
+    texts += ["x" + "0f" * 400, "key " + "0f" * 64, "1 " * 3000 + "x", "(555) " * 400, "9" * 4000, "a_" * 5000, "5" * 4000 + "x", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    number = re.compile(r"(?<![A-Za-z0-9_])\(?[0-9]+(?![A-Za-z0-9_])(?:[ ().-]+[0-9]+(?![A-Za-z0-9_]))*")
+    secret = re.compile(r"[A-Za-z0-9_]+")
+    for r in pii.candidates(pii.base_spans(df)).select("doc_id", "proposed").collect():
+        t = texts[r.doc_id] or ""
+        want = [("number", m.start(), m.end()) for m in number.finditer(t) if m.end() - m.start() >= 7]
+        want += [("secret", m.start(), m.end()) for m in secret.finditer(t) if m.end() - m.start() >= 16 and re.search("[0-9]", m[0])]
+        assert [(p.kind, p.start, p.end) for p in r.proposed] == want, t[:60]
+
+
+def test_pii_added_spans_are_those_the_trees_select(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(1500):
+        kind = rng.randrange(4)
+        code = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        texts.append(prose(5, i) + [f" password: {code} x", f" build {rng.randrange(10**8, 10**9)}_{'abcdefghij'} y", f" call +1 (555) 123-{rng.randrange(1000, 9999)} z", " plain"][kind])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit_pii(df)
+    proposed = {r.doc_id: r.proposed for r in pii.candidates(pii.base_spans(df)).select("doc_id", "proposed").collect()}
+    added = 0
+    for r in pii.find_pii(df, model).select("doc_id", "added").collect():
+        want = [(p.kind, p.start, p.end) for p in proposed[r.doc_id] if not p.base and model.score({f: p[f] for f in pii.FEATURES}) >= model.thresholds.get(p.kind, float("inf"))]
+        assert [tuple(x) for x in r.added] == want
+        added += len(want)
+    assert added > 100 and "secret" in model.thresholds
+
+
+def test_pii_thresholds_come_from_held_out_counts():
+    good, bad = (1, 11, 4, 1, 1, 0, 1, 0, 0, 0, 0), (1, 7, 2, 0, 0, 0, 0, 0, 0, 0, 0)
+    fitted = [(good, 500, 499), (bad, 500, 5)]
+    assert "number" in pii.fit_trees(fitted, held=[(good, 200, 199), (bad, 100, 0)]).thresholds
+    assert "number" not in pii.fit_trees(fitted, held=[(good, 200, 120), (bad, 100, 0)]).thresholds
+    assert "number" not in pii.fit_trees(fitted, held=[]).thresholds
+
+
 # 7 toxicity
+def test_factorization_machine_learns_exclusive_or():
+    """Either term alone is neutral over all rows; only the pair tells."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (4000, 2))
+    sets = [np.array([10 + k for k in range(2) if r[k]] + [100 + int(rng.integers(50)), 200 + int(rng.integers(50))]) for r in x]
+    m = toxicity.fit_machine(sets, x[:, 0] ^ x[:, 1])
+    raw = lambda c: m._raw(np.zeros(len(c), dtype=int), m.slot[c], 1)[0]
+    assert raw([10]) > 0 and raw([11]) > 0 and raw([10, 11]) < 0 and m.bias < 0
+
+
+def test_machine_equals_the_plain_sum():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(np.arange(1 << toxicity.BITS), 0.3, rng.normal(size=1 << toxicity.BITS), rng.normal(size=(1 << toxicity.BITS, 4)) / 10)
+    doc, bucket = toxicity.terms(pa.array([TEXTS[0], TEXTS[10], None]))
+    for i, got in enumerate(m.score(pa.array([TEXTS[0], TEXTS[10], None]))):
+        own = sorted(set(bucket[doc == i].tolist()))
+        raw = 0.3 + sum(m.weight[b] for b in own) + sum(m.factor[a] @ m.factor[b] for k, a in enumerate(own) for b in own[:k])
+        assert abs(got - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
+
+
+def test_held_out_folds(spark):
+    import zlib
+
+    rows = spark.range(50).select(F.col("id").alias("doc_id")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) doc_id"))
+    for parts in (4, 5):
+        for r in rows.select("doc_id", queries._fold(parts).alias("f")).collect():
+            assert r.f == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % parts
+
+
 def test_factorization_machine_learns_interactions():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (3000, 2))
@@ -276,6 +477,28 @@ def test_jaccard_equals_brute_force(spark, docs, size, percent):
     assert Counter(rows_of(jaccard.jaccard_components(df, size, percent))) == brute_components(items, size, percent)
 
 
+def test_jaccard_of_many_near_copies(spark):
+    rng = random.Random(31)
+    base = prose(120, 500).split()
+    items = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        items.append((i, " ".join(w)))
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    assert Counter(rows_of(jaccard.jaccard_components(df))) == brute_components(items, 4, 85)
+    assert jaccard.keep_one(df, keep_repeats=False).count() == len({c for _, _, c in brute_components(items, 4, 85)})
+
+
+def test_keep_one_without_repeats(spark, docs):
+    kept = jaccard.keep_one(docs, keep_repeats=False)
+    ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    assert ids[0] == 1 and 1 not in ids and ids[7] == ids[8] == ids[9] == 1 and kept.columns == docs.columns
+    rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None)], "doc_id long, text string")
+    assert Counter(rows_of(jaccard.keep_one(rows, keep_repeats=False))) == Counter({(1, "a b c d e f"): 1, (None, None): 2})
+
+
 def test_keep_one(docs, empty):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
@@ -348,6 +571,22 @@ def test_quality_equals_brute_force(docs, empty):
     assert quality.quality_features(empty).count() == 0
 
 
+def test_cascade_does_less_than_all_rules(docs):
+    texts = pa.array([t for t in TEXTS if t] * 5 + ["short"] * 50)
+    order = tuple(sorted(quality.RULES, key=lambda r: r.name == "repeated_words"))
+    short, whole = quality.View(texts), quality.View(texts)
+    verdict = quality.cascade(short, order) < 0
+    every = np.zeros(len(whole), dtype=bool)
+    for rule in quality.RULES:
+        every |= rule.rejects(whole)
+    assert (verdict == ~every).all() and short.work[0] < whole.work[0]
+
+
+def test_rule_order_repeats(docs):
+    first = quality.estimate_rules(docs)
+    assert first == quality.estimate_rules(docs.repartition(7)) and quality.estimate_rules(docs, sample_rows=3)
+
+
 def test_cascade_order_changes_no_verdict(docs):
     ids = [sorted((r.doc_id is None, r.doc_id or 0) for r in quality.keep_quality(docs, rules).select("doc_id").collect()) for rules in (quality.RULES, quality.RULES[::-1], None)]
     assert ids[0] == ids[1] == ids[2] and (False, 5) in ids[0]
