@@ -1,22 +1,21 @@
 """The corpus pipeline: quality, near-duplicates, personal data, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that ``run`` writes as
-Parquet in the shared folder and reads again as the next stage's docs. All stages but the
-last return the columns of ``documents``; each works on all rows its predecessor
-kept, repeated rows and null keys included.
+Parquet in the shared folder and reads again as the next stage's docs; a stage's table goes
+when the next one is there. All stages but the last return the columns of ``documents``; each
+works on all rows its predecessor kept, repeated rows and null keys included.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, jaccard, mixing, pii, quality
 from strandloom.llm.queries import TOKENIZER
-from strandloom.runtime import shared_folder
+from strandloom.runtime import remove, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return jaccard.keep_one(docs, size=5, percent=80)
+    """The document with the smallest doc_id of each group of near-duplicates, once: five-word shingles, similarity 0.8."""
+    return jaccard.keep_one(docs, size=5, percent=80, keep_repeats=False)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    docs, last = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), None
+    for name, stage in STAGES:
+        path = scratch(spark, name)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
