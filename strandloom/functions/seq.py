@@ -94,3 +94,53 @@ def normalise(v: Column | str) -> Column:
 def first_letters(x: Column | str) -> Column:
     """The leading letters of a line: one sequence a line."""
     return F.regexp_extract(_col(x), "^[A-Za-z]*", 0)
+
+
+def to_binary(x: Column | str, width: int) -> Column:
+    """A whole number as ``width`` binary digits."""
+    return F.lpad(F.bin(_col(x)), width, "0")
+
+
+def from_binary(x: Column | str) -> Column:
+    """The number of a string of binary digits."""
+    return F.conv(_col(x), 2, 10).cast("long")
+
+
+def packed(x: Column | str, words: int = 4) -> Column:
+    """Up to 32 bases a word in ``words`` longs, two bits a base (A 0, C 1, G 2, T 3), the last base lowest."""
+    digits = F.lpad(F.translate(_col(x), BASES, "0123"), 32 * words, "0")
+    return F.array(*(F.conv(F.substring(digits, F.lit(32 * w + 1), F.lit(32)), 4, -10).cast("long") for w in range(words)))
+
+
+def packed_shift(x: Column | str, bases: int) -> Column:
+    """A packed sequence moved up by ``bases``, or down where negative; bases that leave are lost."""
+    x = _col(x)
+    far, bits = divmod(2 * abs(bases), 64)
+    at = lambda i: F.coalesce(F.when(i >= 0, F.get(x, i)), F.lit(0).cast("long"))
+    if bases >= 0:
+        return F.transform(x, lambda _, i: F.shiftleft(at(i + far), bits).bitwiseOR(F.shiftrightunsigned(at(i + far + 1), 64 - bits) if bits else F.lit(0).cast("long")))
+    return F.transform(x, lambda _, i: F.shiftrightunsigned(at(i - far), bits).bitwiseOR(F.shiftleft(at(i - far - 1), 64 - bits) if bits else F.lit(0).cast("long")))
+
+
+def packed_and(x: Column | str, y: Column | str) -> Column:
+    return F.zip_with(_col(x), _col(y), lambda a, b: a.bitwiseAND(b))
+
+
+def packed_or(x: Column | str, y: Column | str) -> Column:
+    return F.zip_with(_col(x), _col(y), lambda a, b: a.bitwiseOR(b))
+
+
+def packed_xor(x: Column | str, y: Column | str) -> Column:
+    return F.zip_with(_col(x), _col(y), lambda a, b: a.bitwiseXOR(b))
+
+
+def packed_less(x: Column | str, y: Column | str) -> Column:
+    """Whether a packed sequence is smaller, as a number without sign."""
+    flip = lambda v: F.transform(_col(v), lambda a: a.bitwiseXOR(F.lit(-(1 << 63))))
+    return flip(x) < flip(y)
+
+
+def nonzero_bases(x: Column | str) -> Column:
+    """How many bases of a packed sequence are not A; of an exclusive-or: how many differ."""
+    low = F.lit(0x5555555555555555)
+    return F.aggregate(F.transform(_col(x), lambda a: F.bit_count(a.bitwiseOR(F.shiftrightunsigned(a, 1)).bitwiseAND(low))), F.lit(0), lambda s, n: s + n)

@@ -17,15 +17,11 @@ def transform(reads: DataFrame) -> DataFrame:
         F.concat(F.expr("substring(seq, p)"), F.lit("$")).alias("suffix"),
         F.when(F.col("p") > 1, F.substring("seq", F.col("p") - 1, F.lit(1))).otherwise("$").alias("ch"),
     )
-    return with_position(rows, "pos", "suffix", "read_id").select("pos", "ch", "read_id")
+    return with_position(rows, "pos", "suffix", "read_id", keep=["ch", "read_id"]).select("pos", "ch", "read_id")
 
 
-def run_lengths(bwt: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """start, ch, length of each run of one symbol.
-
-    Positions are cut into blocks for a window each; a run's start is where the symbol
-    differs from the one before, so runs across blocks are joined by the starts alone.
-    """
+def run_lengths(bwt: DataFrame) -> DataFrame:
+    """start, ch, length of each run of one symbol: a run starts where the symbol differs from the one before and ends at the next start."""
     before = bwt.select((F.col("pos") + 1).alias("pos"), F.col("ch").alias("was"))
     starts = bwt.join(before, "pos", "left").where("was IS NULL OR was <> ch").select("pos", "ch")
     ordered = with_position(starts, "run", "pos")
@@ -35,6 +31,11 @@ def run_lengths(bwt: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.select(F.col("pos").alias("start"), "ch", (F.coalesce("next", "end") - F.col("pos")).alias("length"))
 
 
+def expand(runs: DataFrame) -> DataFrame:
+    """pos and ch of runs (start, ch, length): the transform that ``run_lengths`` packed."""
+    return runs.select(F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"), "ch")
+
+
 def rank_before(bwt: DataFrame, block: int = 1 << 16) -> DataFrame:
     """pos, ch, rank: how often the symbol stands before this position. Counts of whole blocks are added to counts inside one."""
     rows = bwt.withColumn("block", F.floor(F.col("pos") / block))

@@ -20,6 +20,14 @@ def star_edges(reads: DataFrame, k: int, both_strands: bool = False) -> DataFram
     return rows.join(reps, "kmer").where("rep <> read_id").select("rep", "read_id").distinct()
 
 
+def submaximal_components(reads: DataFrame, k: int) -> DataFrame:
+    """The ``components`` of reads, forward strand, from k-submaximal repeats alone: fewer k-mers, the same groups."""
+    rows = K.occurrences(reads, k).select("read_id", "kmer").join(K.submaximal(reads, k).select("kmer"), "kmer", "left_semi").distinct()
+    reps = rows.groupBy("kmer").agg(F.min("read_id").alias("rep"))
+    found = connected_components(rows.join(reps, "kmer").where("rep <> read_id").select("rep", "read_id").distinct(), "rep", "read_id")
+    return reads.select("read_id").join(found, F.col("read_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "read_id").alias("comp"))
+
+
 def strand_kmer_pairs(reads: DataFrame, k: int) -> DataFrame:
     """Distinct k-mers that occur on both strands, with their occurrences; own reverse complements are left out."""
     pairs = K.strand_pairs(reads, k).where("NOT own AND n_fwd > 0 AND n_rev > 0")
@@ -112,15 +120,19 @@ def capped_union(rows: pd.DataFrame, max_size: int, fragment: int = 100) -> pd.D
     return out
 
 
-def capped_groups(reads: DataFrame, k: int, max_size: int, fragment: int = 100, both_strands: bool = True, mates: DataFrame | None = None, bundle: int = 20_000) -> DataFrame:
+def capped_groups(reads: DataFrame, k: int, max_size: int, fragment: int = 100, both_strands: bool = True, mates: DataFrame | None = None, bundle: int = 20_000, submaximal: bool = False) -> DataFrame:
     """(read_id, group_id): components whose unions obey the size rule of ``capped_union``.
 
+    With ``submaximal`` the events are those of k-submaximal repeats, on the forward strand only.
+
     A union never leaves an uncapped component, so components are independent and
     run side by side, small ones in bundles of about ``bundle`` reads. Within one the
     order of unions decides the result, so a component is one task's work.
     """
+    if submaximal and both_strands:
+        raise ValueError("submaximal repeats have no form for both strands")
     comp = checkpoint(components(reads, k, both_strands, mates))
-    keep = K.right_maximal(reads, k).where("n >= 2").select("kmer")
+    keep = (K.submaximal(reads, k) if submaximal else K.right_maximal(reads, k).where("n >= 2")).select("kmer")
     occ = K.occurrences(reads, k).select("read_id", "pos", "kmer")
     events = occ.join(keep, "kmer", "left_semi").select("read_id", "pos", "kmer", F.lit("kmer").alias("kind"))
     if both_strands:

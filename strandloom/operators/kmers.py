@@ -117,6 +117,29 @@ def extension_counts(reads: DataFrame, k: int) -> DataFrame:
     return occurrences(reads, k).groupBy("kmer", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def left_extension_counts(reads: DataFrame, k: int) -> DataFrame:
+    """Occurrences of each k-mer extended by one symbol to the left."""
+    return occurrences(reads, k).groupBy("kmer", "prev").agg(F.count(F.lit(1)).alias("n"))
+
+
+def submaximal(reads: DataFrame, k: int) -> DataFrame:
+    """kmer, n of right-maximal k-mers (n of two or more) that no other of them covers.
+
+    One covers another if it starts before every occurrence of it, at one distance and with
+    the same letters between. The nearest one before decides, so a window over each read's
+    occurrences and one aggregation tell.
+    """
+    from pyspark.sql import Window
+
+    marked = right_maximal(reads, k).where("n >= 2")
+    at = occurrences(reads, k).select("read_id", "pos", "kmer").join(marked, "kmer")
+    before = F.lag("pos").over(Window.partitionBy("read_id").orderBy("pos"))
+    at = at.withColumn("before", before).join(reads.select("read_id", "seq"), "read_id")
+    between = F.when(F.col("before").isNotNull(), F.expr("substring(seq, cast(before + 1 AS int), cast(pos - before AS int))"))
+    found = at.select("kmer", "n", between.alias("between")).groupBy("kmer", "n").agg(F.min("between").alias("a"), F.max("between").alias("b"), F.count("between").alias("m"))
+    return found.where("m < n OR a <> b").select("kmer", "n")
+
+
 def suffix_tree_nodes(reads: DataFrame, depths: range) -> DataFrame:
     """depth, kmer, n of the right-maximal k-mers of each depth."""
     parts = [right_maximal(reads, k).withColumn("depth", F.lit(k)) for k in depths]

@@ -53,10 +53,10 @@ def canonical_positions(spark: SparkSession, k: int) -> DataFrame:
     return rows.select((F.row_number().over(Window.orderBy("kmer")) - 1).alias("idx"), "kmer")
 
 
-def dense(counts: DataFrame, k: int) -> DataFrame:
-    """cluster_id, idx, n for every canonical k-mer, zero where it does not occur. The list of k-mers has a size fixed by k and is broadcast."""
+def dense(counts: DataFrame, k: int, clusters: DataFrame | None = None) -> DataFrame:
+    """cluster_id, idx, n for every canonical k-mer, zero where it does not occur; for all ``clusters``, if given, those without counts too. The list of k-mers has a size fixed by k and is broadcast."""
     places = canonical_positions(counts.sparkSession, k)
-    ids = counts.select("cluster_id").distinct()
+    ids = (counts if clusters is None else clusters).select("cluster_id").distinct()
     grid = ids.select("cluster_id", F.explode(F.sequence(F.lit(0), F.lit(_canonical(k) - 1))).alias("idx"))
     known = counts.join(F.broadcast(places), "kmer").select("cluster_id", "idx", "n")
     return grid.join(known, ["cluster_id", "idx"], "left").select("cluster_id", "idx", F.coalesce("n", F.lit(0)).alias("n"))

@@ -31,11 +31,31 @@ def remap_pairs(pairs: DataFrame, ids: DataFrame, old: str, new: str) -> DataFra
     return pairs.join(a, "r1").join(b, "r2").select(F.col("n1").alias("r1"), F.col("n2").alias("r2"))
 
 
-def consecutive_pairs(reads: DataFrame, number: str = "record_no", valid: str = "valid_rank") -> DataFrame:
-    """Pairs of records 2j and 2j+1, by their ranks among valid reads, where both are valid."""
-    first = reads.where(F.col(number) % 2 == 0).select(F.col(number).alias("n"), F.col(valid).alias("r1"))
-    second = reads.where(F.col(number) % 2 == 1).select((F.col(number) - 1).alias("n"), F.col(valid).alias("r2"))
-    return first.join(second, "n").where("r1 IS NOT NULL AND r2 IS NOT NULL").select("r1", "r2")
+def consecutive_pairs(reads: DataFrame, number: str = "record_no", valid: str = "valid_rank", place: str | None = None) -> DataFrame:
+    """Pairs of records 2j and 2j+1, by their ranks among valid reads, where both are valid.
+
+    With ``place``, a column of places among all records, the two must also stand side by side.
+    """
+    at = F.col(place) if place else F.col(number)
+    first = reads.where(F.col(number) % 2 == 0).select(F.col(number).alias("n"), F.col(valid).alias("r1"), (at + 1).alias("p"))
+    second = reads.where(F.col(number) % 2 == 1).select((F.col(number) - 1).alias("n"), F.col(valid).alias("r2"), at.alias("p"))
+    return first.join(second, ["n", "p"]).where("r1 IS NOT NULL AND r2 IS NOT NULL").select("r1", "r2")
+
+
+def concatenated(records: DataFrame, *keys: str) -> DataFrame:
+    """header_length, read_length and start of each record (header, seq) in the text of all records, header lines with their mark, one after the other."""
+    rows = records.withColumns({"header_length": F.length("header") + 1, "read_length": F.length("seq")}).withColumn("_size", F.col("header_length") + F.col("read_length"))
+    return with_position(rows, "record_no", *keys, sums={"start": "_size"}).drop("_size")
+
+
+def locate(reads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """seq and position of ``wanted`` sequences among ``reads`` in lexicographic order, where each row of the index that a read opens lies.
+
+    A wanted sequence that is not there has no row; one that is there twice is an error.
+    """
+    found = with_read_ids(reads.groupBy("seq").agg(F.count(F.lit(1)).alias("copies"))).join(wanted.select("seq").distinct(), "seq")
+    single = F.when(F.col("copies") == 1, F.col("read_id")).otherwise(F.raise_error(F.concat(F.lit("duplicate read in data: "), "seq")).cast("long"))
+    return found.select("seq", single.alias("position"))
 
 
 def reverse_lexicographic(reads: DataFrame, name: str = "position") -> DataFrame:

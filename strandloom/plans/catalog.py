@@ -17,8 +17,8 @@ from strandloom.functions import seq as S
 from strandloom.operators import bwt, filtering, grouping, kmeans, order, profiles
 from strandloom.operators import kmers as K
 from strandloom.operators import reads as R
-from strandloom.runtime import checkpoint, ship_package, table
-from strandloom.sources import readers
+from strandloom.runtime import checkpoint, scratch, ship_package, table
+from strandloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -146,6 +146,28 @@ def canonical_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.canonical_positions(spark, 4).select(F.col("idx").cast("long").alias("idx"), "kmer")
 
 
+@query("binary_codes", f"WITH {READS}, a AS (SELECT doc_id, i, 1 + list_sum(list_transform(range(1, 9), lambda j: (strpos('ACGT', substr(seq, j, 1)) - 1) * (4 ** (8 - j))))::BIGINT AS code FROM reads WHERE length(seq) >= 8) SELECT doc_id, i, lpad(bin(code), 20, '0') AS digits, code FROM a")
+def binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of a read's first 8 bases as binary digits, and read back from them."""
+    rows = _reads(spark, sf_dir).where("length(seq) >= 8").withColumn("digits", S.to_binary(S.lex_rank(F.substring("seq", 1, 8)), 20))
+    return rows.select("doc_id", "i", "digits", S.from_binary("digits").alias("code"))
+
+
+_WORDS = "list_transform(range(0, 4), lambda w: (list_sum(list_transform(range(1, 33), lambda j: (strpos('ACGT', substr(d, 32 * w + j, 1)) - 1)::HUGEINT * (4::HUGEINT ** (32 - j))::HUGEINT)))::HUGEINT)"
+
+
+@query("packed_reads", f"WITH {READS}, p AS (SELECT doc_id, i, seq, lpad(seq, 128, 'A') AS d FROM reads), q AS (SELECT *, list_transform({_WORDS}, lambda x: CASE WHEN x >= 9223372036854775808::HUGEINT THEN x - 18446744073709551616::HUGEINT ELSE x END::BIGINT) AS words FROM p) SELECT doc_id, i, words[1] AS w0, words[2] AS w1, words[3] AS w2, words[4] AS w3, length(replace(seq, 'A', '')) AS nonzero, length(replace(substr(seq, 4), 'A', '')) AS shifted, list_sum(list_transform(range(1, length(seq) + 1), lambda j: CASE WHEN substr(seq, j, 1) <> substr({_rc('seq')}, j, 1) THEN 1 ELSE 0 END))::BIGINT AS differing, seq < {_rc('seq')} AS less FROM q")
+def packed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in four words of two bits a base: the words, bases other than A, the same after 128 minus length plus 3 bases have left, bases that differ from the reverse complement, and the order of the two."""
+    rows = _reads(spark, sf_dir).withColumns({"p": S.packed("seq"), "r": S.packed(S.reverse_complement("seq"))})
+    cut = S.nonzero_bases(S.packed_shift("p", 31))
+    return rows.select(
+        "doc_id", "i", *(F.col("p")[w].alias(f"w{w}") for w in range(4)), S.nonzero_bases("p").cast("long").alias("nonzero"),
+        F.when(F.length("seq") == 100, cut).otherwise(F.length(F.replace(F.expr("substring(seq, 4)"), F.lit("A"), F.lit("")))).cast("long").alias("shifted"),
+        S.nonzero_bases(S.packed_xor("p", "r")).cast("long").alias("differing"), S.packed_less("p", "r").alias("less"),
+    )
+
+
 # Order, duplicates and pairs.
 @query("distinct_reads", f"WITH {READS} SELECT DISTINCT seq FROM reads")
 def distinct_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +192,19 @@ def dedupe_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dedupe_by_header(_reads(spark, sf_dir).withColumn("header", F.concat_ws("_", "doc_id", "i"))).select("seq", "header")
 
 
+@query("concatenated_reads", f"WITH {READS}, h AS (SELECT doc_id, i, '>' || doc_id || '_' || i AS header, seq FROM reads) SELECT doc_id, i, length(header) AS header_length, length(seq) AS read_length, coalesce(sum(length(header) + length(seq)) OVER (ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM h")
+def concatenated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.concatenated(_reads(spark, sf_dir).withColumn("header", F.concat_ws("_", "doc_id", "i")), "doc_id", "i")
+    return rows.select("doc_id", "i", F.col("header_length").cast("long").alias("header_length"), F.col("read_length").cast("long").alias("read_length"), "start")
+
+
+@query("locate_reads", f"WITH {UNIQUE} SELECT seq, read_id AS position FROM u WHERE seq IN (SELECT {_rc('seq')} FROM u)")
+def locate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the reverse complements of reads lie, of those that are reads too."""
+    reads = _reads(spark, sf_dir).select("seq").distinct()
+    return R.locate(reads, reads.select(S.reverse_complement("seq").alias("seq")))
+
+
 @query("rlo_order", f"WITH {UNIQUE} SELECT read_id, row_number() OVER (ORDER BY reverse(seq)) - 1 AS position FROM u")
 def rlo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reverse_lexicographic(_unique(spark, sf_dir)).select("read_id", "position")
@@ -319,6 +354,16 @@ def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.extension_counts(_unique(spark, sf_dir), 6)
 
 
+@query("left_extension_counts", f"WITH {UNIQUE}, {_occ(6)} SELECT kmer, prv AS prev, count(*) AS n FROM occ GROUP BY kmer, prv")
+def left_extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.left_extension_counts(_unique(spark, sf_dir), 6)
+
+
+@query("submaximal", f"WITH {UNIQUE}, {_occ(16)}, m AS MATERIALIZED (SELECT kmer, count(*) AS n FROM occ GROUP BY kmer HAVING count(*) >= 2 AND (count(DISTINCT nxt) >= 2 OR bool_or(nxt = '$'))), o AS (SELECT read_id, pos, kmer, n, lag(pos) OVER (PARTITION BY read_id ORDER BY pos) AS before FROM occ JOIN m USING (kmer)), b AS (SELECT kmer, n, CASE WHEN before IS NOT NULL THEN substr(seq, before + 1, pos - before) END AS gap FROM o JOIN u USING (read_id)) SELECT kmer, n FROM b GROUP BY kmer, n HAVING count(gap) < n OR count(DISTINCT gap) > 1")
+def submaximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.submaximal(_unique(spark, sf_dir), 16)
+
+
 @query("suffix_tree_nodes", f"WITH {UNIQUE} " + " UNION ALL ".join(f"SELECT * FROM (WITH {_occ(k)} SELECT {k} AS depth, kmer, count(*) AS n FROM occ GROUP BY kmer HAVING count(DISTINCT nxt) >= 2 OR (count(*) >= 2 AND bool_or(nxt = '$')))" for k in (3, 4, 5)))
 def suffix_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.suffix_tree_nodes(checkpoint(_unique(spark, sf_dir)), range(3, 6)).select("depth", "kmer", "n")
@@ -362,7 +407,7 @@ def kmer_star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.star_edges(_unique(spark, sf_dir), 36)
 
 
-@query("rc_kmer_pairs", f"WITH {UNIQUE}, {_occ(16)}, c AS (SELECT kmer, count(*) AS n FROM occ GROUP BY kmer) SELECT x.kmer, y.kmer AS rc, x.n, y.n AS n_rc FROM c x JOIN c y ON y.kmer = {_rc('x.kmer')} WHERE x.kmer < y.kmer")
+@query("rc_kmer_pairs", f"WITH {UNIQUE}, {_occ(16)}, c AS MATERIALIZED (SELECT kmer, {_rc('kmer')} AS rc, count(*) AS n FROM occ GROUP BY kmer), l AS MATERIALIZED (SELECT kmer, rc, n FROM c WHERE kmer < rc), g AS MATERIALIZED (SELECT kmer, n FROM c WHERE kmer > rc) SELECT l.kmer, g.kmer AS rc, l.n, g.n AS n_rc FROM l JOIN g ON g.kmer = l.rc")
 def rc_kmer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.strand_kmer_pairs(_unique(spark, sf_dir), 16)
 
@@ -372,6 +417,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.components(_unique(spark, sf_dir), 36)
 
 
+@query("submaximal_components", f"WITH RECURSIVE {UNIQUE}, {_occ(36)}, {_STAR}, {_COMP} SELECT read_id, comp FROM comp")
+def submaximal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups from k-submaximal repeats, which are the components over all k-mers."""
+    return grouping.submaximal_components(_unique(spark, sf_dir), 36)
+
+
 @query("components_rc", f"WITH RECURSIVE {UNIQUE}, {_occ(36)}, {_STAR_RC}, {_COMP} SELECT read_id, comp FROM comp")
 def components_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.components(_unique(spark, sf_dir), 36, both_strands=True)
@@ -544,6 +595,19 @@ def inter_cluster_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "i long, j long, dist long")
 
 
+@query("centroid_distances", f"WITH {_NEAREST}, ce AS (SELECT cluster, idx, sum(x) / count(*) AS value FROM n JOIN l USING (id) GROUP BY cluster, idx), cr AS (SELECT cluster, idx, row_number() OVER (PARTITION BY cluster ORDER BY value, idx) - 1 AS r FROM ce) SELECT a.cluster::BIGINT AS i, b.cluster::BIGINT AS j, sum(abs(a.r - b.r))::BIGINT AS dist FROM cr a JOIN cr b ON a.idx = b.idx AND a.cluster < b.cluster GROUP BY ALL")
+def centroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the centres that all points' assignment gives; centres are few by definition."""
+    centres = kmeans.centroids(_assigned(spark, sf_dir).withColumnRenamed("v", "profile"), _dimensions(spark, sf_dir))
+    ids = sorted(centres)
+    rows = [(ids[i], ids[j], int(d)) for (i, j), d in kmeans.centre_distances([centres[c] for c in ids]).items()]
+    return spark.createDataFrame(rows, "i long, j long, dist long")
+
+
+def _dimensions(spark: SparkSession, sf_dir: str) -> int:
+    return _points(spark, sf_dir).select(F.size("v")).first()[0]
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("id", F.transform("v", lambda x: x.cast("double")).alias("profile"))
 
@@ -573,6 +637,14 @@ def bwt_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.run_lengths(checkpoint(bwt.transform(_unique(spark, sf_dir))))
 
 
+@query("saved_index", f"WITH {_BWT} SELECT pos, ch FROM bw")
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform, saved as runs, restored and expanded."""
+    path = scratch(spark, "index")
+    writers.index(bwt.run_lengths(checkpoint(bwt.transform(_unique(spark, sf_dir)))), path)
+    return bwt.expand(readers.index(spark, path))
+
+
 @query("bwt_rank", f"WITH {_BWT} SELECT pos, ch, row_number() OVER (PARTITION BY ch ORDER BY pos) - 1 AS rank FROM bw")
 def bwt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.rank_before(bwt.transform(_unique(spark, sf_dir)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import resource
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,12 @@ from strandloom.sources import readers, writers
 
 
 def preclusters(raw: DataFrame, config: Config) -> DataFrame:
-    """cluster_id, seq_no, seq of groups of reads that share long k-mers, from ``raw`` (record_no, seq of valid reads)."""
+    """cluster_id, seq_no, seq of groups of reads that share long k-mers, from ``raw`` (record_no, seq and, for mates, place of valid reads)."""
     ranked = with_position(raw, "orig_rank", "record_no")
     unique = reads.with_read_ids(reads.dedupe(ranked))
     mates = None
     if config.paired_ends:
-        pairs = reads.consecutive_pairs(ranked.withColumn("valid_rank", F.col("orig_rank")))
+        pairs = reads.consecutive_pairs(ranked, "record_no", "orig_rank", "place")
         mates = reads.remap_pairs(pairs, unique, "orig_rank", "read_id")
     good, bad = filtering.good_and_bad(unique.select("read_id", "seq"), config.read_filtering_k, config.read_filtering_threshold)
     if config.filtering_good_out:
@@ -41,7 +44,7 @@ def cluster(pre: DataFrame, config: Config) -> DataFrame:
     counted = profiles.by_covered_positions(pre, short_k=k) if config.run_metacluster else profiles.by_distinct_windows(pre, short_k=k)
     if config.run_metacluster:
         counted = profiles.collapse(counted)
-    shares = profiles.shares(profiles.dense(counted, k))
+    shares = profiles.shares(profiles.dense(counted, k, pre))
     points = profiles.vectors(shares, "share").select(F.col("cluster_id").alias("id"), F.col("v").alias("profile"))
     if config.run_metacluster:
         found = kmeans.adaptive(points)
@@ -51,12 +54,24 @@ def cluster(pre: DataFrame, config: Config) -> DataFrame:
     return rows.select("final", "cluster_id", "seq_no", "seq")
 
 
+def timed_run(spark: SparkSession, config: Config) -> tuple[DataFrame, dict[str, float]]:
+    """``run``, written, with its statistics: clusters, sequences, seconds and the peak memory of driver and JVM in MB."""
+    began = time.monotonic()
+    final = checkpoint(run(spark, config))
+    counts = final.agg(F.count(F.lit(1)).alias("sequences"), F.countDistinct("final").alias("clusters"), F.countDistinct("cluster_id").alias("preclusters")).first().asDict()
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    return final, counts | {"seconds": time.monotonic() - began, "driver_mb": peak, "jvm_mb": runtime.totalMemory() / 2**20}
+
+
 def run(spark: SparkSession, config: Config) -> DataFrame:
     """Read, cluster and, where the settings name places, write. Returns the final clusters."""
     if config.only_kmeans:
         pre = readers.clusters(spark, config.preclusters_out)
     else:
-        pre = checkpoint(preclusters(readers.fasta(spark, config.input_reads), config))
+        if config.paired_ends and readers.fasta(spark, config.input_reads, validate=False).where("record_no IS NOT NULL").count() % 2:
+            raise ValueError("an odd number of reads has no mates")
+        pre = checkpoint(preclusters(readers.fasta(spark, config.input_reads, places=True), config))
         if config.preclusters_out:
             writers.clusters(pre, config.preclusters_out)
     final = cluster(pre, config)

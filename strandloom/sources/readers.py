@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
@@ -11,21 +11,33 @@ from strandloom.operators.order import with_position
 CLUSTER_MARK = "cluster_start"
 
 
-def fasta(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
+def _placed(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """value and place (from 0) of all records of the files at ``path``, by file and place in it; large files are read in parts."""
+    raw = spark.read.option("lineSep", separator).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    return with_position(raw, "place", "file_path", "file_block_start", "id", keep=["value"])
+
+
+def fasta(spark: SparkSession, path: str, validate: bool = True, places: bool = False) -> DataFrame:
     """record_no, header, seq of FASTA records (plain or gzip); multi-line records are joined.
 
-    record_no follows the order of files and positions in them and may have gaps.
-    With ``validate`` sequences are cleaned and those with other letters than ACGT go.
+    record_no counts all records that have a sequence, valid or not, by file and place in it. With
+    ``validate`` sequences are cleaned and those with other letters than ACGT go, and so do
+    records without a sequence; else these have no record_no. With ``places`` the place
+    among all records is given too.
     """
-    raw = spark.read.option("lineSep", ">").text(path).withColumn("record_no", F.monotonically_increasing_id())
-    rows = raw.where("length(value) > 0").select(
-        "record_no",
-        F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "").alias("header"),
-        F.when(F.contains("value", F.lit("\n")), F.expr("substring(value, locate('\n', value) + 1)")).otherwise("").alias("body"),
-    )
+    raw = _placed(spark, path, "\n>").where(r"length(regexp_replace(value, '\\s', '')) > 0")
+    text = F.regexp_replace("value", "^>", "")
+    rows = raw.select(
+        "place",
+        F.regexp_replace(F.substring_index(text, "\n", 1), r"\r$", "").alias("header"),
+        F.when(F.contains(text, F.lit("\n")), F.substring(text, F.locate("\n", text) + 1, F.length(text))).otherwise("").alias("body"),
+    ).withColumns({"seq": S.clean("body"), "raw": F.regexp_replace("body", r"[\r\n]", "")})
+    some = F.col("seq") != ""
+    numbered = with_position(rows.withColumn("some", some.cast("long")), "_n", "place", sums={"record_no": "some"}).withColumn("record_no", F.when(some, F.col("record_no")))
+    out = ["record_no", "header", "seq", *(["place"] if places else [])]
     if validate:
-        return rows.select("record_no", "header", S.clean("body").alias("seq")).where(S.is_valid("seq"))
-    return rows.select("record_no", "header", F.regexp_replace("body", r"[\r\n]", "").alias("seq"))
+        return numbered.where(S.is_valid("seq")).select(*out)
+    return numbered.withColumn("seq", F.col("raw")).select(*out)
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +45,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered by file and place, so large files are read in parts.
     """
-    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
-    rows = with_position(raw, "line", "file_path", "file_block_start", "id")
+    rows = _placed(spark, path).withColumnRenamed("place", "line")
     part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", r"\r$", "")))
     records = rows.groupBy(F.floor(F.col("line") / 4).alias("record_no")).agg(part(0).alias("header"), part(1).alias("seq"), part(3).alias("qual"))
     return records.where("seq IS NOT NULL").select("record_no", F.substring("header", 2, 1 << 30).alias("header"), "seq", "qual")
@@ -53,13 +64,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def clusters(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
     """cluster_id, seq_no, seq of a cluster file: a header ``cluster_start`` (or, unless exact, one that starts so) opens a cluster."""
-    rows = fasta(spark, path, validate=False)
+    rows = fasta(spark, path, validate=False, places=True)
     opens = (F.col("header") == CLUSTER_MARK) if exact else F.col("header").startswith(CLUSTER_MARK)
-    marked = rows.withColumn("opens", opens.cast("int")).withColumn("file", F.lit(0))
-    by_file = Window.partitionBy("file").orderBy("record_no")
-    numbered = marked.withColumn("cluster_id", F.sum("opens").over(by_file) - 1)
-    inside = Window.partitionBy("cluster_id").orderBy("record_no")
-    return numbered.where("cluster_id >= 0").select("cluster_id", (F.row_number().over(inside) - 1).cast("long").alias("seq_no"), S.clean("seq").alias("seq"))
+    numbered = with_position(rows.withColumn("opens", opens.cast("long")), "at", "place", sums={"before": "opens"})
+    numbered = numbered.withColumn("cluster_id", F.col("before") + F.col("opens") - 1).where("cluster_id >= 0")
+    first = numbered.where("opens = 1").select("cluster_id", F.col("at").alias("first"))
+    return numbered.join(first, "cluster_id").select("cluster_id", (F.col("at") - F.col("first")).alias("seq_no"), S.clean("seq").alias("seq"))
 
 
 def count_clusters(spark: SparkSession, path: str) -> int:
@@ -72,6 +82,11 @@ def groups(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("group_id", F.explode(F.split(F.trim("value"), r"\s+")).alias("id")).select("group_id", F.col("id").cast("long").alias("read_id"))
 
 
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """start, ch, length of the runs of a saved index."""
+    return spark.read.schema("start long, ch string, length long").parquet(path)
+
+
 def mate_pairs(spark: SparkSession, path: str) -> DataFrame:
     """r1, r2 of a file with two ids on each line."""
     return spark.read.csv(path, sep=" ", schema="r1 long, r2 long")

@@ -26,5 +26,10 @@ def clusters(rows: DataFrame, path: str) -> None:
     marked.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "seq_no").select("value").write.text(path)
 
 
+def index(runs: DataFrame, path: str) -> None:
+    """Save the runs (start, ch, length) of an index, in order of start over the files."""
+    runs.select("start", "ch", "length").repartitionByRange("start").sortWithinPartitions("start").write.parquet(path)
+
+
 def mate_pairs(pairs: DataFrame, path: str) -> None:
     pairs.select("r1", "r2").write.csv(path, sep=" ")

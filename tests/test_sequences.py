@@ -69,6 +69,187 @@ def test_pairs_and_duplicates(spark, fasta):
     assert pairs(R.remap_pairs(mates, ids, "valid_rank", "read_id")) == {(3, 2)}
 
 
+@pytest.fixture
+def many_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_fasta_in_many_parts(spark, tmp_path, many_splits):
+    rng = random.Random(11)
+    text, want, n = "\n\n", [], 0
+    for i in range(300):
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 7, 40, 61, 150])))
+        if rng.random() < 0.1:
+            seq += "N"
+        text += f">r{i} a>b{chr(13) * (i % 3 == 0)}\n" + "".join(f"{seq[k:k + 60].lower()}{chr(13) * (i % 3 == 0)}\n" for k in range(0, len(seq), 60)) + "\n" * (i % 5 == 0)
+        if seq:
+            if "N" not in seq:
+                want.append((n, f"r{i} a>b", seq))
+            n += 1
+    (tmp_path / "x.fa").write_bytes(text.encode())
+    rows = readers.fasta(spark, str(tmp_path / "x.fa"))
+    assert spark.read.text(str(tmp_path / "x.fa")).rdd.getNumPartitions() > 20
+    assert [tuple(r) for r in rows.orderBy("record_no").collect()] == want
+    assert readers.fasta(spark, str(tmp_path / "x.fa"), validate=False).count() == 300
+
+
+def mates_by_hand(records):
+    """Mates by a walk over the records, as a stream would give them."""
+    out, valid, parsed, good_before = set(), 0, 0, False
+    for seq in records:
+        good = bool(seq) and set(seq) <= set("ACGT")
+        parsed += bool(seq)
+        if good:
+            valid += 1
+            if parsed % 2 == 0 and good_before:
+                out.add((valid - 2, valid - 1))
+        good_before = good
+    return out
+
+
+def test_mates_of_a_file_in_many_parts(spark, tmp_path, many_splits):
+    rng = random.Random(12)
+    records = [rng.choice(["", "N", "ACGTN", *["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(6)]]) for _ in range(400)]
+    records += ["ACGTACGT"] * (sum(map(bool, records)) % 2)
+    (tmp_path / "m.fa").write_text("".join(f">r{i}\n{s}\n" if s else f">r{i}\n" for i, s in enumerate(records)))
+    raw = readers.fasta(spark, str(tmp_path / "m.fa"), places=True)
+    ranked = with_position(raw, "orig_rank", "record_no")
+    assert pairs(R.consecutive_pairs(ranked, "record_no", "orig_rank", "place")) == mates_by_hand(records)
+
+
+def test_pipeline_joins_mates(spark, fasta, tmp_path, monkeypatch):
+    seen = {}
+    real = pipeline.grouping.capped_groups
+    monkeypatch.setattr(pipeline.grouping, "capped_groups", lambda kept, *a, mates=None, **k: seen.update(mates=pairs(mates)) or real(kept, *a, mates=mates, **k))
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    c = Config(input_reads=fasta, paired_ends=True, read_filtering_k=4, read_filtering_threshold=2, preclustering_k=8, precluster_min_size=1, kmeans_number_of_clusters=1, filtering_good_out=good, filtering_bad_out=bad)
+    final, stats = pipeline.timed_run(spark, c)
+    assert seen["mates"] == {(3, 2)} and final.count() == stats["sequences"] == 4 and stats["seconds"] > 0 and stats["driver_mb"] > 0
+    assert spark.read.text(good).where("value <> '>'").count() == 4 and spark.read.text(bad).count() == 0
+    (tmp_path / "odd.fa").write_text(">a\nACGT\n")
+    with pytest.raises(ValueError, match="odd"):
+        pipeline.run(spark, Config(input_reads=str(tmp_path / "odd.fa"), paired_ends=True))
+
+
+def test_clusters_keep_their_order(spark, tmp_path, many_splits):
+    rng = random.Random(14)
+    text, want, cluster = ">before\nAC\n", [], -1
+    for i in range(200):
+        mark = i == 0 or rng.random() < 0.1
+        if mark:
+            cluster, k = cluster + 1, 0
+        seq = "".join(rng.choice("ACGT") for _ in range(20))
+        text += f">{'cluster_start' + 'x' * (i % 2) if mark else ''}\n{seq}\n"
+        want.append((cluster, k, seq))
+        k += 1
+    (tmp_path / "c.fa").write_text(text)
+    assert [tuple(r) for r in readers.clusters(spark, str(tmp_path / "c.fa")).orderBy("cluster_id", "seq_no").collect()] == want
+    assert readers.clusters(spark, str(tmp_path / "c.fa"), exact=True).select("cluster_id").distinct().count() == text.count(">cluster_start\n")
+
+
+def test_submaximal_equals_a_walk(spark):
+    rng = random.Random(15)
+    genome = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = sorted({genome[i : i + rng.randrange(12, 30)] for i in [rng.randrange(40) for _ in range(40)]} | {"".join(rng.choice("AC") for _ in range(15)) for _ in range(10)})
+    rows = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+
+    def places(x):
+        return [(s, p) for s in seqs for p in range(len(s) - len(x) + 1) if s.startswith(x, p)]
+
+    def right_maximal(x):
+        after = [s[p + len(x) : p + len(x) + 1] or "$" for s, p in places(x)]
+        return len(after) > 1 and (len(set(after)) > 1 or "$" in after)
+
+    for k in (4, 6):
+        marked = {x for s in seqs for x in (s[p : p + k] for p in range(len(s) - k + 1)) if right_maximal(x)}
+        keep = set()
+        for w in marked:
+            x, covered = w, False
+            while not covered:
+                before = {s[p - 1] if p else "$" for s, p in places(x)}
+                if len(before) > 1 or "$" in before:  # left-maximal, or at the reads' starts
+                    break
+                x = before.pop() + x
+                covered = x[:k] in marked
+            if not covered:
+                keep.add((w, len(places(w))))
+        assert pairs(K.submaximal(rows, k)) == keep and len(keep) < len(marked)
+        assert pairs(grouping.submaximal_components(rows, k)) == pairs(grouping.components(rows, k))
+    assert groups_of(grouping.capped_groups(rows, 6, 1000, both_strands=False, submaximal=True), "group_id") == groups_of(grouping.components(rows, 6), "comp")
+    with pytest.raises(ValueError, match="both strands"):
+        grouping.capped_groups(rows, 6, 1000, submaximal=True)
+
+
+def capped_by_hand(seqs, k, most, fragment):
+    """The capped union over all reads at once, with sets in place of a forest."""
+    group = {i: {i} for i in range(len(seqs))}
+    after, events = {}, []
+    for i, s in enumerate(seqs):
+        for p in range(len(s) - k + 1):
+            after.setdefault(s[p : p + k], []).append(s[p + k : p + k + 1] or "$")
+            events.append((i, p, s[p : p + k]))
+    keep = {w for w, a in after.items() if len(a) > 1 and (len(set(a)) > 1 or "$" in a)}
+    rep = {}
+    for i, _, w in sorted(events, key=lambda e: (-e[0], -e[1])):
+        if w in keep:
+            a, b = group[rep.setdefault(w, i)], group[i]
+            if a is b:
+                continue
+            if (len(a) <= most and len(b) <= most) or len(a) < fragment or len(b) < fragment:
+                a |= b
+                for x in b:
+                    group[x] = a
+            elif len(b) < len(a):
+                rep[w] = i
+    return {(i, min(g)) for i, g in group.items()}
+
+
+@pytest.mark.parametrize(("most", "fragment"), [(1000, 100), (3, 1), (2, 3), (5, 2)])
+def test_capped_groups_equal_a_model(spark, most, fragment):
+    rng = random.Random(16)
+    genomes = ["".join(rng.choice("ACGT") for _ in range(80)) for _ in range(3)]
+    seqs = sorted({g[i : i + 25] for g in genomes for i in range(0, 56, 4)} | {genomes[0][40:60] + genomes[1][:10]})
+    rows = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    assert pairs(grouping.capped_groups(rows, 12, most, fragment, both_strands=False, bundle=5)) == capped_by_hand(seqs, 12, most, fragment)
+
+
+def test_packed_sequences(spark):
+    rng = random.Random(17)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (1, 31, 32, 33, 64, 100, 128, 128)]
+    rows = spark.createDataFrame([(s, t) for s in seqs for t in seqs], "s string, t string").select("s", "t", S.packed("s").alias("p"), S.packed("t").alias("q"))
+    value = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
+    number = lambda ws: sum((w & (1 << 64) - 1) << 64 * (3 - i) for i, w in enumerate(ws))
+    for shift in (0, 1, 31, 32, 40, 127, -1, -32, -45):
+        for r in rows.select("s", "t", "p", S.packed_shift("p", shift).alias("m"), S.packed_and("p", "q").alias("a"), S.packed_or("p", "q").alias("o"), S.packed_xor("p", "q").alias("x"), S.packed_less("p", "q").alias("l"), S.nonzero_bases("p").alias("z")).collect():
+            v, w = value(r.s), value(r.t)
+            assert number(r.p) == v and r.z == len(r.s) - r.s.count("A") and r.l == (v < w)
+            assert (number(r.a), number(r.o), number(r.x)) == (v & w, v | w, v ^ w)
+            assert number(r.m) == ((v << 2 * shift) & (1 << 256) - 1 if shift >= 0 else v >> -2 * shift)
+
+
+def test_locate_rejects_duplicates(spark):
+    rows = spark.createDataFrame([("CC",), ("AA",), ("GG",), ("AA",)], "seq string")
+    assert pairs(R.locate(rows, spark.createDataFrame([("GG",), ("TT",)], "seq string"))) == {("GG", 2)}
+    with pytest.raises(Exception, match="duplicate read"):
+        R.locate(rows, rows).collect()
+
+
+def test_concatenated_and_saved_index(spark, unique, tmp_path):
+    rows = R.concatenated(unique.withColumn("header", F.concat(F.lit("h"), "read_id")), "read_id")
+    text = "".join(f">h{i}{s}" for i, s in enumerate(UNIQUE))
+    for r in rows.collect():
+        at = r.start + r.header_length
+        assert text[r.start : at] == f">h{r.record_no}" and text[at : at + r.read_length] == UNIQUE[r.record_no]
+    b = bwt.transform(unique)
+    writers.index(bwt.run_lengths(b), str(tmp_path / "index"))
+    assert pairs(bwt.expand(readers.index(spark, str(tmp_path / "index")))) == pairs(b.select("pos", "ch"))
+
+
 def test_scalar_functions(spark):
     row = spark.range(1).select(
         S.reverse_complement(F.lit("AACG")).alias("rc"), S.lex_rank(F.lit("TTTT")).alias("rank"), S.unrank(F.lit(256), 4).alias("back"),
