@@ -23,6 +23,7 @@ columns that have the names of their results.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -52,15 +53,22 @@ HELD = 3
 FEATURES = ("number", "digits", "length", "parens", "hyphen", "dot", "space", "letters", "upper", "hex", "word")
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` with ``value`` evaluated once, however often and deep inside loops it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _before(sizes: Column) -> Column:
     """Sums of all elements before each one, in blocks, so that long arrays stay cheap."""
-    block = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(_CHUNK)), lambda a: F.aggregate(F.slice(sizes, a + 1, F.lit(_CHUNK)), F.lit(0), lambda x, y: x + y))
-    start = F.transform(block, lambda _, i: F.aggregate(F.slice(block, F.lit(1), i), F.lit(0), lambda x, y: x + y))
-    return F.transform(
-        sizes,
-        lambda _, i: F.get(start, F.floor(i / _CHUNK).cast("int"))
-        + F.aggregate(F.slice(sizes, (F.floor(i / _CHUNK) * _CHUNK).cast("int") + 1, i % _CHUNK), F.lit(0), lambda x, y: x + y),
-    )
+    plus = lambda x, y: x + y
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(_CHUNK)), lambda a: F.aggregate(F.slice(s, a + 1, F.lit(_CHUNK)), F.lit(0), plus))
+    starts = lambda k: F.transform(k, lambda _, i: F.aggregate(F.slice(k, F.lit(1), i), F.lit(0), plus))
+
+    def inside(s: Column, t: Column) -> Column:
+        block = lambda i: F.floor(i / _CHUNK).cast("int")
+        return F.transform(s, lambda _, i: F.get(t, block(i)) + F.aggregate(F.slice(s, block(i) * _CHUNK + 1, i % _CHUNK), F.lit(0), plus))
+
+    return _let(sizes, lambda s: _let(blocks(s), lambda k: _let(starts(k), lambda t: inside(s, t))))
 
 
 _SPANS = "array<struct<start:int,end:int,found:string>>"
@@ -77,14 +85,10 @@ def _with_matches(rows: DataFrame, kind: str) -> DataFrame:
     may = F.contains(F.col("body"), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.col("body").rlike("[0-9]")
     rows = rows.withColumn("_m", F.when(may, F.regexp_extract_all("body", pattern, F.lit(0))))
     rows = rows.withColumn("_g", F.when(F.size("_m") > 0, F.split("body", PATTERNS[kind], -1)))
-    rows = rows.withColumn("_s", F.when(F.size("_m") > 0, F.transform("_m", lambda m, i: F.length(m) + F.length(F.get("_g", i)))))
+    rows = rows.withColumn("_s", F.when(F.size("_m") > 0, _let(F.col("_g"), lambda g: F.transform("_m", lambda m, i: F.length(m) + F.length(F.get(g, i))))))
     rows = rows.withColumn("_b", F.when(F.size("_m") > 0, _before(F.col("_s"))))
-    spans = F.transform(
-        "_m",
-        lambda m, i: F.struct(
-            (F.get("_b", i) + F.length(F.get("_g", i))).alias("start"), (F.get("_b", i) + F.get("_s", i)).alias("end"), m.alias("found")
-        ),
-    )
+    one = lambda g, n, at: F.transform("_m", lambda m, i: F.struct((F.get(at, i) + F.length(F.get(g, i))).alias("start"), (F.get(at, i) + F.get(n, i)).alias("end"), m.alias("found")))
+    spans = _let(F.col("_g"), lambda g: _let(F.col("_s"), lambda n: _let(F.col("_b"), lambda at: one(g, n, at))))
     return _fence(rows.withColumn(kind, F.when(F.size("_m") > 0, spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))).drop("_m", "_g", "_s", "_b"))
 
 
