@@ -107,6 +107,19 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.draw(empty).count() == 0
 
 
+def test_mixing_rounds_reach_the_targets_and_rates_fill_up(spark):
+    rows = [(i, "w" * (40 + 900 * (i % 11 == 0)), ["en", "de", None][i % 3], f"s{min(i % 7, 3)}", 0) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cells = mixing._keyed(df, None).groupBy("_source", "_lang", "_topic").agg(F.sum("tokens").alias("n"))
+    raked = mixing.rake(cells).cache()
+    assert mixing.marginal_error(raked) < 1e-6 < mixing.marginal_error(mixing.rake(cells, 0))
+    for keep in (0.1, 0.8, 0.97, 1.0):
+        p = {tuple(r)[:3]: r.probability for r in mixing.probabilities(raked, keep).collect()}
+        n = {tuple(r)[:3]: r.n for r in cells.where("n > 0").collect()}
+        assert abs(sum(p[c] * n[c] for c in n) - keep * sum(n.values())) < 1e-6 and all(0 < x <= 1 for x in p.values())
+    assert mixing.probabilities(raked.where("n < 0")).count() == 0
+
+
 # 3 language
 def test_language_models(spark, docs, empty):
     en, de = [prose(60, s) for s in range(40)], [" ".join("".join(random.Random(s * 99 + k).sample("schau gelb über straße und zug ein".split(), 2)) for k in range(60)) for s in range(40)]

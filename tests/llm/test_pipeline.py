@@ -32,6 +32,43 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in drawn.collect()} <= set(texts) and drawn.columns == columns
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null keys and texts, repeated rows, one very long word, one very long text, and columns with the names of results."""
+    prose = lambda s, n=80: " ".join(f"wort{(k * k * 7 + s * 131) % 997}x{s}n{k // 500}" for k in range(n))
+    rows = [(1, prose(1), "en", "s0"), (1, prose(1), "en", "s0"), (None, prose(1), None, None), (None, prose(2), "en", "s1"), (None, prose(2), "en", "s1"), (2, None, "en", "s0"), (3, "", None, "s0"), (None, None, None, None)]
+    rows += [(4, prose(4) + " " + "ab" * 50_000, "de", "s1"), (5, prose(5, 20_000), "en", "s0"), (6, prose(6) + " a.b@c.de", "en", "s2"), (6, prose(7), "en", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "CAST(length(text) AS LONG) AS n_chars")
+    for name in ("batch", "node", "row", "key", "tag", "doc", "body", "email", "added", "topic", "tokens", "probability", "drawn", "_row", "kept"):
+        df = df.selectExpr("*", f"'own {name}' AS `{name}`")
+    return df.cache()
+
+
+@pytest.mark.parametrize("stage", [s for s in P.STAGES if s[0] != "tokens"], ids=lambda s: s[0])
+def test_stages_keep_columns_and_bear_odd_rows(spark, odd, stage):
+    name, run = stage
+    kept = run(spark, odd, "")
+    assert kept.columns == odd.columns and kept.where("topic <> 'own topic' OR tag <> 'own tag'").count() == 0
+    got = sorted((r.doc_id is None, r.doc_id or 0, len(r.text or ""), r.text is None) for r in kept.collect())
+    every = sorted((r.doc_id is None, r.doc_id or 0, len(r.text or ""), r.text is None) for r in odd.collect())
+    if name == "quality_rules":
+        assert [g[:2] for g in got] == [(False, 1), (False, 1), (False, 5), (False, 6), (False, 6), (True, 0), (True, 0), (True, 0)]  # the long word makes words too long on average
+    elif name == "near_duplicates":  # one row with text 1, one with text 2; those without words all stay
+        assert [g[:2] for g in got] == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 6), (False, 6), (True, 0), (True, 0)]
+    elif name == "personal_data":
+        assert len(got) == len(every) and {r.text[-7:] for r in kept.where("doc_id = 6").collect()} >= {"[EMAIL]"}
+        assert kept.where("NOT n_chars <=> length(text)").count() == 0
+    else:
+        assert set(got) <= set(every)
+    assert run(spark, odd.where("doc_id > 99"), "").count() == 0
+
+
+def test_token_stage_bears_odd_rows(spark, odd):
+    got = P.tokens(spark, odd, "")
+    assert got.count() == odd.count() and got.where("n_tokens = 0").count() == 3 and got.where("n_tokens <> size(ids)").count() == 0
+    assert P.tokens(spark, odd.where("doc_id > 99"), "").count() == 0
+
+
 def test_run(spark, sf_dir):
     rows = P.run(spark, sf_dir).collect()
     assert rows and {r.doc_id for r in rows} <= {*range(12), 25} and all(len(r.ids) == r.n_tokens for r in rows)
