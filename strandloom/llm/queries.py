@@ -80,6 +80,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def _added(kind: str) -> Column:
+    """How many spans of a kind the trees added."""
+    return F.size(F.filter("added", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: base spans and those the trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,7 +94,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.span_string(pii.span_list()), 256).alias("base_sha256"),
         pii.span_string(pii.span_list(added=True)).alias("spans"),
-        *(F.size(F.filter("added", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.GENERATORS),
+        *(_added(k).alias(f"n_{k}") for k in pii.GENERATORS),
         (F.size(pii.span_list(added=True))).cast("long").alias("n_spans"),
     )
 

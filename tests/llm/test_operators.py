@@ -393,6 +393,8 @@ def test_pii_added_spans_are_those_the_trees_select(spark):
         assert [tuple(x) for x in r.added] == want
         added += len(want)
     assert added > 100 and "secret" in model.thresholds
+    counts = pii.find_pii(df, model).agg(F.sum(queries._added("secret")).alias("secret"), F.sum(queries._added("number")).alias("number")).first()
+    assert counts.secret + counts.number == added and counts.secret > 100
 
 
 def test_pii_thresholds_come_from_held_out_counts():
