@@ -14,9 +14,9 @@ from strandloom.runtime import checkpoint
 
 def star_edges(reads: DataFrame, k: int, both_strands: bool = False) -> DataFrame:
     """(rep, read_id): each read of a k-mer with the k-mer's smallest read, never all pairs."""
-    kmer = S.canonical("kmer") if both_strands else F.col("kmer")
-    rows = K.occurrences(reads, k).select("read_id", kmer.alias("kmer")).distinct()
-    reps = rows.groupBy("kmer").agg(F.min("read_id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    kmer = F.least("kmer", "rc") if both_strands else F.col("kmer")
+    rows = K.occurrences(reads, k).select("read_id", kmer.alias("kmer"))
+    reps = rows.groupBy("kmer").agg(F.min("read_id").alias("rep"), F.max("read_id").alias("last")).where("rep < last").drop("last")
     return rows.join(reps, "kmer").where("rep <> read_id").select("rep", "read_id").distinct()
 
 

@@ -13,13 +13,18 @@ from strandloom.functions import seq as S
 
 
 def occurrences(reads: DataFrame, k: int, key: str = "read_id") -> DataFrame:
-    """key, pos, kmer, next and prev ($ at an end) of every k-mer occurrence; shorter reads give none."""
+    """key, pos, kmer, rc (its reverse complement), next and prev ($ at an end) of every k-mer occurrence; shorter reads give none.
+
+    A read is turned once, and rc cut from there; where rc is not used, no read is turned.
+    """
     n = F.length("seq")
-    rows = reads.where(n >= k).select(key, "seq", F.explode(F.sequence(F.lit(1), n - k + 1)).alias("p"))
+    turned = reads.where(n >= k).select(key, "seq", S.reverse_complement("seq").alias("_turned"))
+    rows = turned.select(key, "seq", "_turned", F.explode(F.sequence(F.lit(1), n - k + 1)).alias("p"))
     return rows.select(
         key,
         (F.col("p") - 1).cast("long").alias("pos"),
         F.substring("seq", F.col("p"), F.lit(k)).alias("kmer"),
+        F.substring("_turned", n - F.col("p") - k + 2, F.lit(k)).alias("rc"),
         F.when(F.col("p") + k <= n, F.substring("seq", F.col("p") + k, F.lit(1))).otherwise("$").alias("next"),
         F.when(F.col("p") > 1, F.substring("seq", F.col("p") - 1, F.lit(1))).otherwise("$").alias("prev"),
     )
@@ -42,7 +47,7 @@ def counts(reads: DataFrame, k: int) -> DataFrame:
 
 def canonical_counts(reads: DataFrame, k: int) -> DataFrame:
     """Occurrences of each k-mer on either strand under its smaller form; its own reverse complement counts once."""
-    return occurrences(reads, k).groupBy(S.canonical("kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return occurrences(reads, k).groupBy(F.least("kmer", "rc").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def neighbourhoods(reads: DataFrame, k: int) -> DataFrame:
@@ -72,8 +77,7 @@ def supermaximal(reads: DataFrame, k: int) -> DataFrame:
 
 def strand_pairs(reads: DataFrame, k: int) -> DataFrame:
     """One row for a k-mer and its reverse complement: occurrences of each, and the next symbols of each on both strands."""
-    rows = occurrences(reads, k).withColumn("rc", S.reverse_complement("kmer"))
-    rows = rows.select(
+    rows = occurrences(reads, k).select(
         F.least("kmer", "rc").alias("kmer"),
         F.expr("kmer <= rc").alias("fwd"),
         F.expr("kmer = rc").alias("own"),
@@ -89,12 +93,22 @@ def strand_pairs(reads: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _sides() -> tuple[Column, Column]:
+    """Whether the smaller form of a strand pair with its n occurs and is right-maximal, and whether the larger does."""
+    return F.expr("n_fwd > 0") & _maximal("nexts_fwd"), F.expr("NOT own AND n_rev > 0") & _maximal("nexts_rev")
+
+
 def right_maximal_both(reads: DataFrame, k: int) -> DataFrame:
     """Strand-aware right-maximal k-mers that occur themselves: kmer, n (both strands; one that is its own reverse complement counts forward only)."""
-    pairs = strand_pairs(reads, k).withColumn("n", F.col("n_fwd") + F.col("n_rev"))
-    fwd = pairs.where(F.expr("n_fwd > 0") & _maximal("nexts_fwd")).select("kmer", "n")
-    rev = pairs.where(F.expr("NOT own AND n_rev > 0") & _maximal("nexts_rev")).select(S.reverse_complement("kmer").alias("kmer"), "n")
-    return fwd.unionByName(rev)
+    fwd, rev = _sides()
+    forms = F.array_compact(F.array(F.when(fwd, F.col("kmer")), F.when(rev, S.reverse_complement("kmer"))))
+    return strand_pairs(reads, k).withColumn("n", F.col("n_fwd") + F.col("n_rev")).select(F.explode(forms).alias("kmer"), "n")
+
+
+def right_maximal_canonical(reads: DataFrame, k: int) -> DataFrame:
+    """The smaller forms of ``right_maximal_both``, each once: kmer, n."""
+    fwd, rev = _sides()
+    return strand_pairs(reads, k).withColumn("n", F.col("n_fwd") + F.col("n_rev")).where(fwd | rev).select("kmer", "n")
 
 
 def symbols(reads: DataFrame) -> DataFrame:

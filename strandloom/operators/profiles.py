@@ -24,9 +24,11 @@ def _frequent(clusters: DataFrame, long_k: int, least: int) -> DataFrame:
 
 def by_distinct_windows(clusters: DataFrame, long_k: int = 16, short_k: int = 4, least: int = 2) -> DataFrame:
     """cluster_id, kmer (canonical), n: the short k-mers of each distinct long window that occurs ``least`` times in the cluster."""
-    rows = _frequent(clusters, long_k, least).select("cluster_id", F.col("kmer").alias("w"))
-    p = F.explode(F.sequence(F.lit(1), F.lit(long_k - short_k + 1)))
-    short = rows.select("cluster_id", "w", p.alias("p")).select("cluster_id", S.canonical(F.substring("w", F.col("p"), F.lit(short_k))).alias("kmer"))
+    rows = _frequent(clusters, long_k, least).select("cluster_id", F.col("kmer").alias("w"), S.reverse_complement("kmer").alias("turned"))
+    last = long_k - short_k + 1
+    each = rows.select("cluster_id", "w", "turned", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("p"))
+    cut = lambda x, p: F.substring(x, p, F.lit(short_k))
+    short = each.select("cluster_id", F.least(cut("w", F.col("p")), cut("turned", last + 1 - F.col("p"))).alias("kmer"))
     return short.groupBy("cluster_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -17,7 +17,7 @@ from strandloom.functions import seq as S
 from strandloom.operators import bwt, filtering, grouping, kmeans, order, profiles
 from strandloom.operators import kmers as K
 from strandloom.operators import reads as R
-from strandloom.runtime import checkpoint, scratch, ship_package, table
+from strandloom.runtime import checkpoint, scratch, ship_package, spread, table
 from strandloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,16 @@ occ AS (SELECT {key}, p - 1 AS pos, substr(seq, p, {k}) AS kmer,
   FROM (SELECT {key}, seq, unnest(range(1, length(seq) - {k} + 2)) AS p FROM {source}))"""
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.reads_of_texts(table(spark, sf_dir, "documents"), rest=_REST.get())
+    return readers.reads_of_texts(_texts(spark, sf_dir), rest=_REST.get())
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.reads_of_texts(table(spark, sf_dir, "documents"), keep_n=True, rest=_REST.get())
+    return readers.reads_of_texts(_texts(spark, sf_dir), keep_n=True, rest=_REST.get())
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:

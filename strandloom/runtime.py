@@ -86,3 +86,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the session's cores where its files have fewer splits than that; else as it is.
+
+    For rows that many more are made of in the same stage, as k-mers of texts: the shuffle of
+    the rows is small against what follows.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

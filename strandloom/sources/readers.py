@@ -102,6 +102,6 @@ def reads_of_texts(docs: DataFrame, length: int = 100, keep_n: bool = False, res
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", bases)
     rows = docs.select("doc_id", letters.alias("q"))
     rows = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 1, S.reverse_complement("q")).otherwise(F.col("q")).alias("q"))
-    n = F.ceil(F.length("q") / length) if rest else F.floor(F.length("q") / length)
-    pieces = F.sequence(F.lit(0).cast("long"), n - 1)
-    return rows.where(F.length("q") >= (1 if rest else length)).select("doc_id", "q", F.explode(pieces).alias("i")).select("doc_id", "i", F.substring("q", (F.col("i") * length + 1).cast("int"), F.lit(length)).alias("seq"))
+    piece = f".{{1,{length}}}" if rest else f".{{{length}}}"
+    pieces = F.posexplode(F.regexp_extract_all("q", F.lit(piece), F.lit(0))).alias("i", "seq")
+    return rows.select("doc_id", pieces).select("doc_id", F.col("i").cast("long").alias("i"), "seq")
