@@ -93,9 +93,10 @@ def distance_statistics(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.coalesce(F.stddev_samp("dist"), F.lit(0.0)).alias("sd"))
 
 
-def outliers(assigned: DataFrame) -> DataFrame:
-    """Points farther from their centre than the cluster's mean and two standard deviations."""
-    return assigned.join(distance_statistics(assigned), "cluster").where("dist > mean + 2 * sd").select("id", "cluster", "dist")
+def outliers(assigned: DataFrame, deviations: float = 2.0) -> DataFrame:
+    """Points farther from their centre than the cluster's mean and ``deviations`` standard deviations."""
+    far = F.col("dist") > F.col("mean") + F.lit(deviations) * F.col("sd")
+    return assigned.join(distance_statistics(assigned), "cluster").where(far).select("id", "cluster", "dist")
 
 
 def intra_distances(assigned: DataFrame, centres: list[list[float]]) -> dict[int, float]:

@@ -592,6 +592,13 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("cluster").cast("long").alias("cluster"), F.col("dist").cast("long").alias("dist"))
 
 
+@query("outliers_one_deviation", f"WITH {_NEAREST}, z AS (SELECT cluster, avg(dist) AS m, coalesce(stddev_samp(dist), 0) AS s FROM n GROUP BY cluster) SELECT id, n.cluster::BIGINT AS cluster, dist FROM n JOIN z USING (cluster) WHERE dist > m + s")
+def outliers_one_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``outliers``, one deviation from the mean instead of two."""
+    found = kmeans.outliers(checkpoint(_assigned(spark, sf_dir).select("id", "cluster", "dist")), deviations=1.0)
+    return found.select("id", F.col("cluster").cast("long").alias("cluster"), F.col("dist").cast("long").alias("dist"))
+
+
 @query("inter_cluster_distances", f"WITH {_RANKS} SELECT a.id AS i, b.id AS j, sum(abs(a.r - b.r))::BIGINT AS dist FROM k a JOIN k b ON a.idx = b.idx AND a.id < b.id AND b.id < 8 GROUP BY ALL")
 def inter_cluster_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = [r["v"] for r in _points(spark, sf_dir).where("id < 8").orderBy("id").collect()]

@@ -438,3 +438,12 @@ def test_streaming_counts(spark, tmp_path):
     q = streaming_counts(stream, 4).writeStream.format("memory").queryName("kmer_stream").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert dict(pairs(spark.table("kmer_stream")))["CGTA"] == 8
+
+
+def test_outliers(spark):
+    near = [(i, 0, 10 + i % 3) for i in range(20)] + [(30 + i, 1, 5) for i in range(4)]
+    assigned = spark.createDataFrame([*near, (99, 0, 60), (98, 2, 7)], "id long, cluster int, dist long")
+    assert pairs(kmeans.outliers(assigned)) == {(99, 0, 60)}
+    spread = spark.createDataFrame([(i, 0, d) for i, d in enumerate([0, 2, 4, 6, 8])], "id long, cluster int, dist long")
+    assert pairs(kmeans.outliers(spread)) == set()
+    assert pairs(kmeans.outliers(spread, deviations=1.0)) == {(4, 0, 8)}
