@@ -1,4 +1,4 @@
-"""The ten operators over the driver's tables, and DuckDB SQL where it can express them."""
+"""The operators over the driver's tables, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, jaccard, language, media, mixing, pii, quality, repeats, toxicity
+from strandloom.llm import bpe, chat, jaccard, language, linededup, media, mixing, phrases, pii, quality, repeats, search, toxicity
 from strandloom.runtime import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,6 +121,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return phrases.top_phrases(phrases.mine_phrases(table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that three documents or more share."""
+    found = linededup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 _W = "'[^\\x20\\x09-\\x0D]+'"
 _TEXTS = f"""t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, doc_id, text, regexp_extract_all(text, {_W}) AS words FROM t)"""
@@ -162,6 +179,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR 10 * upper > 4 * alpha OR 2 * n_dup_lines > lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept FROM f
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+x AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+t AS MATERIALIZED (SELECT row, doc_id, n, term, count(*) AS tf FROM x GROUP BY ALL),
+s AS (SELECT count(*) AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, big_n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+p AS (SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY item_id, row)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM p WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+OP12_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k)),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+x AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.lang, x.phrase, x.k, a, cut, u.f AS l, v.f AS r, n, ((1000::HUGEINT * a * n) // (u.f::HUGEINT * v.f))::BIGINT AS score
+  FROM x JOIN n USING (lang) JOIN f u ON u.lang = x.lang AND u.phrase = array_to_string(x.words[1:cut], ' ') JOIN f v ON v.lang = x.lang AND v.phrase = array_to_string(x.words[cut + 1:x.k], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM z WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = z.lang AND c.k > z.k AND 100 * c.a >= 100 * z.a AND contains(' ' || c.phrase || ' ', ' ' || z.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
+OP13_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM t),
+k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row) >= 3),
+j AS (SELECT row, pos, line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN s ON s.key = k.key),
+o AS (SELECT row, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY row)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM o JOIN t USING (row)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -175,8 +231,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_collocations": op12_collocations,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_mixing": mixing.draw_sql(), "op8_ngram_jaccard": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_mixing": mixing.draw_sql(), "op8_ngram_jaccard": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL, "op13_line_dedup": OP13_SQL}
