@@ -9,10 +9,11 @@ documents by going down the slices of the sum from the most significant: a slice
 splits the candidates or takes its holders in whole. So scores are exact and no document is scored alone.
 Each block answers with its best ``k`` documents of each query, and a window over these gives the ranks.
 
-Index: ``build_index`` tokenises each text once into blocks (written), counts the documents of every term
-with one aggregation, and sends the weights back to the blocks. A row is a block; its terms are dealt
-by hash to ``PARTS`` columns, so a query reads only the columns of its terms. Every row and term is indexed. Queries are sent to the blocks in sets
-of bounded size.
+Index: ``build_index`` counts the terms of all texts and then turns each text into its block in one pass without a
+shuffle. An impact is the saturated frequency of a term in a document; the weight of the term depends on the number
+of documents that hold it, which the index gives for the terms of a query before they are searched, and is multiplied in when
+a term's slices are spread. A row is a block; its terms are dealt by hash to ``PARTS`` columns, so a query reads only the columns of its
+terms. Every row and term is indexed. Queries are sent to the blocks in sets of bounded size.
 
 Terms are runs of letters and digits of ASCII and of all characters beyond it, A-Z lower-cased. A null text has no terms; a query
 without terms, or with none that occurs, has no result. Equal scores go by ascending doc_id, null last;
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strandloom.llm.spans import byte_class, chunks, find_runs, name_spans, span_strings
-from strandloom.llm.textblocks import LOWER, release, text_buffer
+from strandloom.llm.textblocks import LOWER, pieces, release, text_buffer
 from strandloom.runtime import checkpoint, ship_package
 
 #: Bytes of text in a block, columns that its terms are dealt to, bytes of query texts that are sent at once.
@@ -68,98 +69,96 @@ def _unzip(blob: bytes, n: int, kind: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """blocks: block, doc_id (sorted), p0 to p15; N documents with a term, L terms with repeats."""
+    """blocks: doc_id (sorted), p0 to p15; N documents with a term, L terms with repeats."""
 
     blocks: DataFrame
     n_docs: int
     n_terms: int
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    """A row for each block: its documents in the order of doc_id with their terms counted, its distinct terms, and (term, document, tf) sorted."""
+def _slices(impact: np.ndarray) -> np.ndarray:
+    """Bit b of all values, packed, for each bit b that is used."""
+    n = max(1, int(impact.max(initial=0)).bit_length())
+    return np.stack([np.packbits((impact >> b & 1).astype(np.uint8), bitorder="little") for b in range(n)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", BLOCK_BYTES):
-            order = pc.sort_indices(chunk.column(0), null_placement="at_end")
-            ids, texts = chunk.column(0).take(order), chunk.column(1).take(order)
-            code, terms, row = terms_of(texts)
-            size = np.int64(max(1, chunk.num_rows))
-            posting, tf = np.unique(code * size + row, return_counts=True)
-            df = np.bincount(posting // size, minlength=len(terms))
-            release()
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.record_batch({
-                "doc_id": one(ids), "lengths": one(pa.array(np.bincount(row, minlength=chunk.num_rows), pa.int64())), "terms": one(terms), "df": one(pa.array(df, pa.int64())),
-                "docs": pa.array([_zip(posting % size, "<u4")], pa.binary()), "tfs": pa.array([_zip(tf, "<u4")], pa.binary()),
-            })
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.mapInArrow(run, f"doc_id array<{kind}>, lengths array<long>, terms array<string>, df array<long>, docs binary, tfs binary")
-    return checkpoint(rows.withColumn("block", F.monotonically_increasing_id()))
+def _list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _slices(impact: np.ndarray) -> tuple[np.ndarray, int]:
-    """Bit b of all values, packed, for each bit b that is used."""
-    n = max(1, int(impact.max(initial=0)).bit_length())
-    return np.stack([np.packbits((impact >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little") for b in range(n)]), n
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """(documents with a term, terms with repeats)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                raw, off = text_buffer(part.column(0))
+                starts, _ = find_runs(raw, off, _TERM)
+                some = np.diff(np.searchsorted(starts, off)) > 0
+                yield pa.record_batch({"docs": pa.array([int(some.sum())], pa.int64()), "terms": pa.array([len(starts)], pa.int64())})
+
+    found = docs.select("text").mapInArrow(run, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return int(found["docs"] or 0), int(found["terms"] or 0)
 
 
 def build_index(docs: DataFrame, key: str = "doc_id") -> Index:
     """The index of all rows of ``docs`` (key, text)."""
     ship_package(docs.sparkSession)
-    postings = _postings(docs.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    plus = lambda x, y: x + y
-    found = postings.agg(F.sum(F.size(F.filter("lengths", lambda n: n > 0))).alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), plus)).alias("terms")).first()
-    n_docs, n_terms = int(found["docs"] or 0), int(found["terms"] or 0)
-    words = postings.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("terms", "df")).alias("code", "x")).select("of", "code", F.col("x.terms").alias("term"), F.col("x.df").alias("df"))
-    weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.sum("df") + 1).cast("double"))).cast("long")
-    weights = words.select("of", "code", "term").join(words.groupBy("term").agg(weight.alias("w")), "term").select("of", "code", "w")
-
-    def weigh(block: pa.Table, weighed: pa.Table) -> pa.Table:
-        row = {name: block.column(name)[0] for name in block.column_names}
-        terms, lengths = row["terms"].values, np.asarray(row["lengths"].values)
-        df = np.asarray(row["df"].values)
-        total = int(df.sum())
-        doc, tf = _unzip(row["docs"].as_py(), total, "<u4").astype(np.int64), _unzip(row["tfs"].as_py(), total, "<u4").astype(np.int64)
-        w = np.zeros(len(terms), dtype=np.int64)
-        w[weighed.column("code").to_numpy()] = weighed.column("w").to_numpy()
-        m = 100 - _LENGTH + _LENGTH * lengths * n_docs // max(1, n_terms)
-        impact = (np.repeat(w, df) * (_SCALE * tf // (1000 * tf + 8 * m[doc]))).astype(np.uint64)
-        starts = np.concatenate([[0], np.cumsum(df)])
-        part = np.array([part_of(t) for t in terms.to_pylist()], dtype=np.int64)
-        out = {"block": block.column("block"), "doc_id": block.column("doc_id")}
-        for p in range(PARTS):
-            own = np.flatnonzero(part == p)
-            at = np.repeat(starts[own], df[own]) + np.arange(int(df[own].sum())) - np.repeat(np.cumsum(df[own]) - df[own], df[own])
-            planes, n = _slices(impact[at])
-            value = {"terms": terms.take(pa.array(own)).to_pylist(), "starts": _zip(np.concatenate([[0], np.cumsum(df[own])]), "<u4"), "docs": _zip(doc[at], "<u4"), "planes": _zip(planes, "u1"), "n_planes": n}
-            out[f"p{p}"] = pa.array([value], _PART_ARROW)
-        release()
-        return pa.table(out)
-
-    schema = f"block long, doc_id {dict(postings.dtypes)['doc_id']}, " + ", ".join(f"p{p} {_PART}" for p in range(PARTS))
-    blocks = postings.groupBy("block").cogroup(weights.groupBy("of")).applyInArrow(weigh, schema)
-    return Index(checkpoint(blocks), n_docs, n_terms)
-
-
-_PART_ARROW = pa.struct([("terms", pa.list_(pa.string())), ("starts", pa.binary()), ("docs", pa.binary()), ("planes", pa.binary()), ("n_planes", pa.int32())])
-
-
-def bitmaps(part: dict, terms: set[str], n_docs: int) -> dict[str, np.ndarray]:
-    """Slices of those of ``terms`` that a part of a block has, as bitmaps over the block's documents (64 to a word)."""
-    wanted = [(i, t) for i, t in enumerate(part["terms"]) if t in terms]
-    if not wanted:
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_docs, n_terms = _sizes(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text", BLOCK_BYTES):
+            order = pc.sort_indices(chunk.column(0), null_placement="at_end")
+            ids = chunk.column(0).take(order)
+            code, terms, row = terms_of(chunk.column(1).take(order))
+            part = np.array([part_of(t) for t in terms.to_pylist()], dtype=np.int64)
+            order = np.argsort(part, kind="stable")
+            new = np.empty_like(order)
+            new[order] = np.arange(len(order))  # terms of one part are neighbours
+            terms, size = terms.take(pa.array(order)), np.int64(max(1, len(ids)))
+            posting, tf = np.unique(new[code] * size + row, return_counts=True)
+            lengths = np.bincount(row, minlength=len(ids))
+            doc, df = posting % size, np.bincount(posting // size, minlength=len(terms))
+            m = 100 - _LENGTH + _LENGTH * lengths * n_docs // max(1, n_terms)
+            impact = _SCALE * tf // (1000 * tf + 8 * m[doc])
+            first, starts = np.searchsorted(part[order], np.arange(PARTS + 1)), np.concatenate([[0], np.cumsum(df)])
+            out = {"doc_id": _list(ids)}
+            for p in range(PARTS):
+                a, b = first[p], first[p + 1]
+                i, j = starts[a], starts[b]
+                planes = _slices(impact[i:j])
+                value = [_list(terms.slice(a, b - a)), *(pa.array([x], pa.binary()) for x in (_zip(starts[a : b + 1] - i, "<u4"), _zip(doc[i:j], "<u4"), _zip(planes, "u1"))), pa.array([len(planes)], pa.int32())]
+                out[f"p{p}"] = pa.StructArray.from_arrays(value, names=["terms", "starts", "docs", "planes", "n_planes"])
+            del posting, tf, doc, impact, code, row
+            release()
+            yield pa.record_batch(out)
+
+    schema = f"doc_id array<{dict(rows.dtypes)['doc_id']}>, " + ", ".join(f"p{p} {_PART}" for p in range(PARTS))
+    return Index(checkpoint(rows.mapInArrow(run, schema)), n_docs, n_terms)
+
+
+def bitmaps(part: dict[str, pa.Scalar], weights: dict[str, int], n_docs: int) -> dict[str, np.ndarray]:
+    """Weighted slices of those of the terms of ``weights`` that a part of a block has, as bitmaps over the block's documents (64 to a word)."""
+    found = np.asarray(pc.index_in(part["terms"].values, pa.array(list(weights), pa.string())).fill_null(-1))
+    wanted = np.flatnonzero(found >= 0)
+    if not len(wanted):
         return {}
-    starts = _unzip(part["starts"], len(part["terms"]) + 1, "<u4").astype(np.int64)
-    total, n = int(starts[-1]), part["n_planes"]
-    docs, planes = _unzip(part["docs"], total, "<u4"), _unzip(part["planes"], n * ((total + 7) // 8), "u1").reshape(n, -1)
+    known = list(weights.items())
+    starts = _unzip(part["starts"].as_py(), len(found) + 1, "<u4").astype(np.int64)
+    total, n = int(starts[-1]), part["n_planes"].as_py()
+    docs, planes = _unzip(part["docs"].as_py(), total, "<u4"), _unzip(part["planes"].as_py(), n * ((total + 7) // 8), "u1").reshape(n, -1)
     width, out = -(-n_docs // 64) * 64, {}
-    for i, t in wanted:
+    place = np.arange(n, dtype=np.int64)[:, None]
+    for i in wanted.tolist():
+        term, w = known[found[i]]
         a, b = int(starts[i]), int(starts[i + 1])
         bits = np.unpackbits(planes[:, a >> 3 : (b + 7) >> 3], axis=1, bitorder="little")[:, a & 7 : (a & 7) + b - a]
-        wide = np.zeros((n, width), dtype=np.uint8)
-        wide[:, docs[a:b]] = bits
-        out[t] = np.packbits(wide, axis=1, bitorder="little").view("<u8")
+        impact = w * (bits.astype(np.int64) << place).sum(axis=0)
+        high = max(1, int(impact.max()).bit_length())
+        wide = np.zeros((high, width), dtype=np.uint8)
+        wide[:, docs[a:b]] = impact >> np.arange(high)[:, None] & 1
+        out[term] = np.packbits(wide, axis=1, bitorder="little").view("<u8")
     return out
 
 
@@ -226,6 +225,27 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     return out
 
 
+def term_weights(index: Index, words: list[str]) -> dict[str, int]:
+    """floor(1000 ln((2 N + 2) / (2 df + 1))) of those of the (boundedly many) ``words`` that occur."""
+    shared = index.blocks.sparkSession.sparkContext.broadcast(pa.array(words, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column in batch.columns:
+                for part in column:
+                    starts = _unzip(part["starts"].as_py(), len(part["terms"]) + 1, "<u4").astype(np.int64)
+                    found = np.asarray(pc.index_in(part["terms"].values, shared.value).fill_null(-1))
+                    at = np.flatnonzero(found >= 0)
+                    yield pa.record_batch({"word": pa.array(found[at], pa.int32()), "df": pa.array(np.diff(starts)[at], pa.int64())})
+
+    used = sorted({part_of(w) for w in words})
+    if not used:
+        return {}
+    slim = index.blocks.select(*(F.struct(F.col(f"p{p}.terms").alias("terms"), F.col(f"p{p}.starts").alias("starts")).alias(f"p{p}") for p in used))
+    weight = F.floor(1000 * F.log((2 * F.lit(index.n_docs) + 2).cast("double") / (2 * F.sum("df") + 1).cast("double"))).cast("long")
+    return {words[r["word"]]: r["w"] for r in slim.mapInArrow(run, "word int, df long").groupBy("word").agg(weight.alias("w")).collect()}
+
+
 def _search_set(index: Index, items: list, k: int, kind: str) -> DataFrame:
     """``search`` for a bounded set of queries."""
     spark = index.blocks.sparkSession
@@ -236,17 +256,18 @@ def _search_set(index: Index, items: list, k: int, kind: str) -> DataFrame:
     for r, c in pairs:
         queries.setdefault(r, []).append(words[c])
     used = sorted({part_of(w) for w in words})
-    shared = spark.sparkContext.broadcast((queries, set(words)))
+    weights = term_weights(index, words)
+    shared = spark.sparkContext.broadcast((queries, weights))
     doc = index.blocks.select("doc_id").schema[0].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, wanted = shared.value
+        asked, weight = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column(0)[i].values
                 maps: dict[str, np.ndarray] = {}
-                for p in range(1, batch.num_columns):
-                    maps |= bitmaps(batch.column(p)[i].as_py(), wanted, len(ids))
+                for column in batch.columns[1:]:
+                    maps |= bitmaps(column[i], weight, len(ids))
                 query, at, score = [], [], []
                 for q, own in asked.items():
                     planes = [maps[t] for t in own if t in maps]
