@@ -9,10 +9,12 @@ Counts of all its beginnings and ends, which the cuts need, come down this tree,
 longer phrase holds it as often is asked of its children alone: a phrase holds all between it and
 any longer one around it, and none of those is rarer than the longer one.
 
-Chunks of texts (some megabytes) are turned into local codes once; the texts are not read again. From level to
+Chunks of texts (some megabytes) are turned into local codes once; the texts are not read again. At each
 level a chunk sends its distinct pairs with their counts, so a frequent pair is one row a
-chunk, and gets the names of the frequent ones back. Names are never hashes: words are joined as
-strings and pairs as two names. What a phrase of infrequent parts would be is not looked at, as it cannot be frequent.
+chunk, and gets the names of the frequent ones back: by broadcast while these have ``NAMES_BYTES`` at most, else by a join.
+Most pairs are rare. So hashed counters are added up first, as packed arrays, and a pair whose counter stays below the threshold is not
+sent; what passes is counted exactly. Names are never hashes: words meet as
+strings and pairs as two names.
 
 A null text is empty and a null language ``und``. Repeated rows count each time. Empty tables give
 no phrase. A very long text is a chunk of its own. Columns other than lang and text are not looked at, whatever their names.
@@ -21,18 +23,28 @@ no phrase. A very long text is a chunk of its own. Columns other than lang and t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.hashcount import pack, unpack
 from strandloom.llm.spans import byte_class, chunks, find_runs, name_spans, span_strings
-from strandloom.llm.textblocks import LOWER, release, text_buffer
+from strandloom.llm.textblocks import LOWER, U64, mix, release, text_buffer
 from strandloom.runtime import checkpoint, ship_package
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 8 << 20
+#: Bytes of a level's names that are broadcast at most; more are joined.
+NAMES_BYTES = 32 << 20
+#: Bits of the largest filter of counters (a bitmap of 32 MB), and of the counters that are added up in one group.
+FILTER_BITS, _SLICE = 28, 20
+#: Pairs of a bucket in which they are counted, repeats included.
+BUCKET_PAIRS = 1 << 20
 #: Parts that a language's phrases are ranked in first, so that no task gets all of them.
 RANK_PARTS = 64
 _BREAK = byte_class((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
@@ -97,28 +109,198 @@ def _corpus(docs: DataFrame) -> DataFrame:
     return checkpoint(rows.withColumn("part", F.monotonically_increasing_id()))
 
 
-def _next_level(corpus: DataFrame, names: DataFrame) -> DataFrame:
-    """Chunks with neighbouring names (chunk, code, id) in the place of codes."""
+@dataclass
+class WordNames:
+    """Names of frequent words: their place in these arrays."""
 
-    def run(chunk: pa.Table, named: pa.Table) -> pa.Table:
-        rows = {"part": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "size": pa.array([], pa.int32()), "left": pa.array([], pa.list_(pa.int64())), "right": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.list_(pa.int64()))}
-        if chunk.num_rows and named.num_rows:
-            codes = _unpacked(chunk.column("codes")[0].as_py(), chunk.column("size")[0].as_py())
-            table = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int64)  # its last place is that of -1
-            table[named.column("code").to_numpy()] = named.column("id").to_numpy()
-            out, left, right, n = pairs_of(table[codes])
-            if len(n):
-                rows = {"part": chunk.column("part"), "codes": pa.array([_packed(out)], pa.binary()), "size": pa.array([len(out)], pa.int32()), "left": _lists(pa.array(left, pa.int64())), "right": _lists(pa.array(right, pa.int64())), "n": _lists(pa.array(n, pa.int64()))}
+    lang: pa.Array
+    word: pa.Array
+    ids: np.ndarray
+
+    @staticmethod
+    def keys(lang: pa.Array, word: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(lang, word, "\t")  # no word holds a tab
+
+    def find(self, row: dict[str, pa.Scalar]) -> np.ndarray:
+        """The name of each word of a chunk, or -1."""
+        at = pc.index_in(self.keys(row["lang"].values, row["word"].values), self.keys(self.lang, self.word))
+        return _named(np.asarray(at.fill_null(-1)), self.ids)
+
+
+@dataclass
+class PairNames:
+    """Names of frequent pairs of names."""
+
+    left: np.ndarray
+    right: np.ndarray
+    ids: np.ndarray
+
+    def find(self, row: dict[str, pa.Scalar]) -> np.ndarray:
+        """The name of each pair of a chunk, or -1."""
+        lefts, rights = np.unique(self.left), np.unique(self.right)
+        place = lambda left, right: np.searchsorted(lefts, left) * np.int64(len(rights) + 1) + np.searchsorted(rights, right)
+        known = place(self.left, self.right)
+        order = np.argsort(known)
+        left, right = np.asarray(row["left"].values), np.asarray(row["right"].values)
+        at = np.searchsorted(known[order], place(left, right))
+        at = order[np.minimum(at, len(order) - 1)] if len(order) else np.full(len(left), -1)
+        return _named(np.where((at >= 0) & (self.left[at] == left) & (self.right[at] == right), at, -1) if len(order) else at, self.ids)
+
+
+def _named(at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.where(at >= 0, ids[np.maximum(at, 0)], -1) if len(ids) else np.full(len(at), -1, dtype=np.int64)
+
+
+_LEVEL = "part long, codes binary, size int, left array<long>, right array<long>, n array<long>"
+
+
+def _pair_row(part: pa.Array, codes: np.ndarray, names: np.ndarray) -> dict:
+    """The next level's row of a chunk whose local codes have these names; no row where no two names are neighbours."""
+    table = np.append(names, -1)  # its last place is that of code -1
+    out, left, right, n = pairs_of(table[codes])
+    lists = (pa.array(x, pa.int64()) for x in (left, right, n))
+    row = {"part": part, "codes": pa.array([_packed(out)], pa.binary()), "size": pa.array([len(out)], pa.int32()), **dict(zip(("left", "right", "n"), map(_lists, lists)))}
+    return row if len(n) else {k: v.slice(0, 0) for k, v in row.items()}
+
+
+def _names_of(frequent: DataFrame, *keys: str) -> WordNames | PairNames | None:
+    """All names of a level, if they have ``NAMES_BYTES`` at most."""
+    size = frequent.agg(F.coalesce(F.sum(sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(16))), F.lit(0)).alias("n")).first()["n"]
+    if size > NAMES_BYTES:
+        return None
+    rows = frequent.select(*keys, "id").toArrow().combine_chunks()
+    one = lambda c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type)
+    if "word" in keys:
+        return WordNames(one("lang"), one("word"), np.asarray(one("id")))
+    return PairNames(np.asarray(one("left")), np.asarray(one("right")), np.asarray(one("id")))
+
+
+def _next_level(corpus: DataFrame, frequent: DataFrame, filter_: Broadcast | None, *keys: str) -> DataFrame:
+    """Chunks with pairs of neighbouring names in the place of their codes. Names come by broadcast while they are few, by a join of each chunk's distinct grams beyond."""
+    names = _names_of(frequent, *keys)
+    if names is not None:
+        shared = corpus.sparkSession.sparkContext.broadcast(names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i] for c in batch.schema.names}
+                    made = _pair_row(batch.column("part").slice(i, 1), _unpacked(row["codes"].as_py(), row["size"].as_py()), shared.value.find(row))
+                    release()
+                    yield pa.record_batch(made)
+
+        return checkpoint(corpus.select("part", "codes", "size", *keys).mapInArrow(run, _LEVEL))
+
+    def joined(chunk: pa.Table, named: pa.Table) -> pa.Table:
+        if not (chunk.num_rows and named.num_rows):
+            return pa.table({"part": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "size": pa.array([], pa.int32()), **{c: pa.array([], pa.list_(pa.int64())) for c in ("left", "right", "n")}})
+        codes = _unpacked(chunk.column("codes")[0].as_py(), chunk.column("size")[0].as_py())
+        table = np.full(int(codes.max(initial=-1)) + 1, -1, dtype=np.int64)
+        table[named.column("code").to_numpy()] = named.column("id").to_numpy()
+        made = _pair_row(chunk.column("part"), codes, table)
+        release()
+        return pa.table(made)
+
+    rows = _grams(corpus, filter_, *keys).join(frequent.select(*keys, "id"), list(keys)).select("chunk", "code", "id")
+    return checkpoint(corpus.select("part", "codes", "size").groupBy("part").cogroup(rows.groupBy("chunk")).applyInArrow(joined, _LEVEL))
+
+
+def _counter(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    return mix(left.astype(U64) ^ mix(right.astype(U64))) >> U64(64 - bits)
+
+
+def _filter(corpus: DataFrame, least: int) -> Broadcast | None:
+    """A bitmap of hashed counters: whether all pairs of a counter together occur ``least`` times. A pair whose bit is 0 is not frequent.
+
+    Counters are four for each ``least`` occurrences, so most pairs that are not frequent
+    are seen to be so, but no more than ``FILTER_BITS`` allows (32 MB as bitmap); where so many say nothing there is no filter.
+    """
+    plus = lambda x, y: x + y
+    total = corpus.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), plus)), F.lit(0)).alias("n")).first()["n"]
+    bits = min(max(16, int(4 * total / least).bit_length()), FILTER_BITS)
+    if total >= least << bits:
+        return None
+    low = min(bits, _SLICE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right, n = (np.asarray(batch.column(c)[i].values) for c in ("left", "right", "n"))
+                values, where = np.unique(_counter(left, right, bits), return_inverse=True)
+                counts = np.bincount(where, weights=n, minlength=len(values)).astype("<u4")
+                edges = np.flatnonzero(np.diff((values >> U64(low)).astype(np.int64), prepend=-1, append=-1))
+                rows: dict[str, list] = {"slice": [], "size": [], "steps": [], "counts": []}
+                for a, b in zip(edges[:-1], edges[1:]):
+                    own = values[a:b] & U64((1 << low) - 1)
+                    rows["slice"].append(int(values[a]) >> low)
+                    rows["size"].append(int(b - a))
+                    rows["steps"].append(pack(np.diff(own, prepend=U64(0)).astype("<u4")))
+                    rows["counts"].append(pack(counts[a:b]))
+                release()
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=list(rows))
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << low, dtype=np.int64)
+        for size, steps, counts in zip(*(group.column(c).to_pylist() for c in ("size", "steps", "counts"))):
+            sums[np.cumsum(unpack(steps, size, "<u4"), dtype=np.int64)] += unpack(counts, size, "<u4")
+        release()
+        return pa.table({"slice": group.column("slice").slice(0, 1), "bitmap": pa.array([np.packbits(sums >= least).tobytes()], pa.binary())})
+
+    sent = corpus.select("left", "right", "n").mapInArrow(run, "slice int, size int, steps binary, counts binary")
+    bitmap = np.zeros((1 << bits >> low, 1 << low >> 3), dtype=np.uint8)
+    for row in sent.groupBy("slice").applyInArrow(add, "slice int, bitmap binary").collect():
+        bitmap[row["slice"]] = np.frombuffer(row["bitmap"], dtype=np.uint8)
+    return corpus.sparkSession.sparkContext.broadcast((bits, bitmap.reshape(-1)))
+
+
+def _kept(filter_: Broadcast, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the pairs that the filter lets pass."""
+    bits, bitmap = filter_.value
+    at = _counter(left, right, bits).astype(np.int64)
+    return np.flatnonzero(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+
+
+def _frequent_pairs(corpus: DataFrame, filter_: Broadcast | None, least: int) -> DataFrame:
+    """left, right, a: the pairs that occur ``least`` times, counted exactly. A chunk sends its pairs to buckets as arrays, which grow in number with the corpus."""
+    plus = lambda x, y: x + y
+    total = corpus.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), plus)), F.lit(0)).alias("n")).first()["n"]
+    buckets = (max(1, int(total) // BUCKET_PAIRS) - 1).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right, n = (np.asarray(batch.column(c)[i].values) for c in ("left", "right", "n"))
+                kept = np.arange(len(left)) if filter_ is None else _kept(filter_, left, right)
+                bucket = (_counter(right[kept], left[kept], buckets) if buckets else np.zeros(len(kept), dtype=U64)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                cut = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x[kept][order], pa.int64()))
+                release()
+                yield pa.record_batch({"bucket": pa.array(bucket[order][edges[:-1]], pa.int64()), "left": cut(left), "right": cut(right), "n": cut(n)})
+
+    def add(group: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(group.column(c)) for c in ("left", "right", "n")})
+        sums = flat.group_by(["left", "right"], use_threads=False).aggregate([("n", "sum")])
         release()
-        return pa.table(rows)
+        return sums.select(["left", "right", "n_sum"]).rename_columns(["left", "right", "a"]).filter(pc.field("a") >= least)
+
+    return corpus.select("left", "right", "n").mapInArrow(run, "bucket long, left array<long>, right array<long>, n array<long>").groupBy("bucket").applyInArrow(add, "left long, right long, a long")
 
-    slim = corpus.select("part", "codes", "size")
-    return checkpoint(slim.groupBy("part").cogroup(names.groupBy("chunk")).applyInArrow(run, "part long, codes binary, size int, left array<long>, right array<long>, n array<long>"))
 
+def _grams(corpus: DataFrame, filter_: Broadcast | None, *keys: str) -> DataFrame:
+    """chunk, code, keys, n: a row for each distinct gram of each chunk; pairs that ``filter_`` rules out are left out."""
+    if filter_ is None:
+        return corpus.select(F.col("part").alias("chunk"), F.posexplode(F.arrays_zip(*keys, "n")).alias("code", "x")).select("chunk", "code", *(F.col(f"x.{k}").alias(k) for k in (*keys, "n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right, n = (np.asarray(batch.column(c)[i].values) for c in ("left", "right", "n"))
+                kept = _kept(filter_, left, right)
+                part = batch.column("part")[i].as_py()
+                yield pa.record_batch({"chunk": pa.array(np.full(len(kept), part), pa.int64()), "code": pa.array(kept, pa.int32()), "left": pa.array(left[kept]), "right": pa.array(right[kept]), "n": pa.array(n[kept])})
 
-def _grams(corpus: DataFrame, *keys: str) -> DataFrame:
-    """chunk, code, keys, n: a row for each distinct gram of each chunk."""
-    return corpus.select(F.col("part").alias("chunk"), F.posexplode(F.arrays_zip(*keys, "n")).alias("code", "x")).select("chunk", "code", *(F.col(f"x.{k}").alias(k) for k in (*keys, "n")))
+    return corpus.select("part", "left", "right", "n").mapInArrow(run, "chunk long, code int, left long, right long, n long")
 
 
 def _cut(k: int) -> Column:
@@ -141,28 +323,25 @@ def mine_phrases(docs: DataFrame, most_words: int = 5, least: int = 100, inside_
     ``inside_percent`` or more of theirs are left out.
     """
     ship_package(docs.sparkSession)
-    corpus = _corpus(docs)
-    grams = _grams(corpus, "lang", "word")
+    corpus, keys, filter_ = _corpus(docs), ("lang", "word"), None
+    grams = _grams(corpus, None, *keys)
     sizes = checkpoint(grams.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = grams.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    frequent = checkpoint(frequent.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts")))
-    names = grams.join(frequent.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("chunk", "code", "id")
+    frequent = checkpoint(frequent.select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts")))
     found = []
     for k in range(2, most_words + 1):
-        corpus = _next_level(corpus, names)
-        grams = _grams(corpus, "left", "right")
-        pairs = grams.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "left", "right", "a")
-        pairs = checkpoint(pairs)
+        corpus = _next_level(corpus, frequent, filter_, *keys)
+        keys, filter_ = ("left", "right"), _filter(corpus, least)
+        pairs = checkpoint(_frequent_pairs(corpus, filter_, least).select(F.monotonically_increasing_id().alias("id"), *keys, "a"))
         begin = frequent.select(F.col("id").alias("left"), "lang", "phrase", "firsts")
         end = frequent.select(F.col("id").alias("right"), "last", "lasts")
         with_a = lambda c: F.concat(c, F.array("a")).alias(c)
-        longer = pairs.join(begin, "left").join(end, "right").select("id", "left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", with_a("firsts"), with_a("lasts"))
+        longer = pairs.join(begin, "left").join(end, "right").select("id", *keys, "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", with_a("firsts"), with_a("lasts"))
         longer = checkpoint(longer)
         if k > 2:
-            around = longer.select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("most"))
+            around = longer.select(F.explode(F.array(*keys)).alias("id"), "a").groupBy("id").agg(F.max("a").alias("most"))
             held = (F.col("most") * 100 >= F.col("a") * inside_percent) & F.col("most").isNotNull()
             found.append(_scored(frequent.join(around, "id", "left").where(~F.coalesce(held, F.lit(False))), sizes, k - 1))
-        names = grams.join(pairs.select("left", "right", "id"), ["left", "right"]).select("chunk", "code", "id")
         frequent = longer
     found.append(_scored(frequent, sizes, most_words))
     out = found[0]

@@ -661,6 +661,15 @@ def bwt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.rank_before(bwt.transform(_unique(spark, sf_dir)))
 
 
+@query("pattern_counts", f"WITH {UNIQUE}, pt AS (SELECT DISTINCT substr(seq, 1, 10) AS pattern FROM u), hit AS (SELECT substr(seq, p, 10) AS pattern FROM (SELECT seq, unnest(range(1, length(seq) - 8)) AS p FROM u WHERE length(seq) >= 10)) SELECT pattern, count(*) AS n FROM pt JOIN hit USING (pattern) WHERE length(pattern) = 10 GROUP BY pattern")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the first ten letters of each read occur in all reads, by backward search."""
+    unique = checkpoint(_unique(spark, sf_dir))
+    index = checkpoint(bwt.searchable(checkpoint(bwt.transform(unique))))
+    wanted = unique.select(F.substring("seq", 1, 10).alias("pattern")).where(F.length("pattern") == 10)
+    return bwt.find_patterns(index, wanted).select("pattern", (F.col("high") - F.col("low")).alias("n"))
+
+
 # Every query with SQL over reads, over the whole texts.
 for _name, _sql in list(_SQL.items()):
     for _cut, _all in WHOLE.items():
