@@ -107,14 +107,21 @@ def from_binary(x: Column | str) -> Column:
 
 
 def packed(x: Column | str, words: int = 4) -> Column:
-    """Up to 32 bases a word in ``words`` longs, two bits a base (A 0, C 1, G 2, T 3), the last base lowest."""
+    """Up to 32 bases a word in ``words`` longs, two bits a base (A 0, C 1, G 2, T 3), the last base lowest. A longer sequence is an error."""
+    fits = F.when(F.length(_col(x)) <= 32 * words, _col(x)).when(_col(x).isNotNull(), F.raise_error(F.lit(f"more than {32 * words} bases do not fit in {words} words")))
+    x = fits
     digits = F.lpad(F.translate(_col(x), BASES, "0123"), 32 * words, "0")
     return F.array(*(F.conv(F.substring(digits, F.lit(32 * w + 1), F.lit(32)), 4, -10).cast("long") for w in range(words)))
 
 
-def packed_shift(x: Column | str, bases: int) -> Column:
-    """A packed sequence moved up by ``bases``, or down where negative; bases that leave are lost."""
+def packed_shift(x: Column | str, bases: int | Column) -> Column:
+    """A packed sequence moved up by ``bases``, or down where negative; bases that leave are lost. A column of bases is 0 or more."""
     x = _col(x)
+    if isinstance(bases, Column):
+        words, over = F.floor(bases / 32).cast("int"), (2 * (bases % 32)).cast("int")
+        word = lambda i: F.coalesce(F.get(x, i), F.lit(0).cast("long"))
+        low = lambda i: F.when(over > 0, F.call_function("shiftrightunsigned", word(i), 64 - over)).otherwise(F.lit(0).cast("long"))
+        return F.transform(x, lambda _, i: F.call_function("shiftleft", word(i + words), over).bitwiseOR(low(i + words + 1)))
     far, bits = divmod(2 * abs(bases), 64)
     at = lambda i: F.coalesce(F.when(i >= 0, F.get(x, i)), F.lit(0).cast("long"))
     if bases >= 0:

@@ -44,6 +44,22 @@ def shared_rank_array(v: Column | str) -> Column:
     return F.transform(v, lambda x: F.array_position(ordered, x) - 1)
 
 
+def swap_rank_array(v: Column | str) -> Column:
+    """Ranks from 0 as a selection sort gives them: the first smallest of what is left changes places with the first of it, so equal values may change their order."""
+    v = F.col(v) if isinstance(v, str) else v
+    order = F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def swap(left: Column, i: Column) -> Column:
+        rest = F.transform(F.slice(left, i + 1, F.size(left) - i), lambda e: e["x"])
+        small = (F.array_position(rest, F.array_min(rest)) - 1 + i).cast("int")
+        moved = F.transform(F.array(small), lambda s: F.transform(left, lambda e, j: F.when(j == i, F.get(left, s)).when(j == s, F.get(left, i)).otherwise(e)))
+        return F.get(moved, F.lit(0))
+
+    places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    placed = F.array_sort(F.transform(F.aggregate(places, order, swap), lambda e, r: F.struct(e["i"].alias("i"), r.alias("r"))))
+    return F.transform(placed, lambda p: p["r"])
+
+
 def _ranks(v: list[float]) -> list[int]:
     out = [0] * len(v)
     for r, i in enumerate(sorted(range(len(v)), key=lambda i: (v[i], i))):

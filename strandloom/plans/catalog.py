@@ -145,6 +145,18 @@ def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 13).select(F.col("id").alias("k"), S.canonical_number("id").alias("n"))
 
 
+_BY_K = "d AS (SELECT k, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS m FROM (SELECT k, substr(seq, p, k) AS m FROM (SELECT k, seq, unnest(range(1, length(seq) - k + 2)) AS p FROM reads, range(1, 8) r(k) WHERE length(seq) >= k)))"
+
+
+@query("canonical_coverage", f"WITH {READS}, {_BY_K} SELECT k, count(DISTINCT m) AS present, CASE WHEN k % 2 = 1 THEN 4 ** k / 2 ELSE (4 ** k + 2 ** k) / 2 END::BIGINT AS possible FROM d GROUP BY k")
+def canonical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the canonical k-mers there are for k from 1 to 7 occur in the reads."""
+    rows = _reads(spark, sf_dir).select("seq", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")).where(F.length("seq") >= F.col("k"))
+    found = rows.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1), lambda p: F.substring(F.col("seq"), p, F.col("k")))).alias("m")).distinct()
+    present = found.select("k", S.canonical("m").alias("m")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("present"))
+    return present.select(F.col("k").cast("long").alias("k"), "present", S.canonical_number("k").alias("possible"))
+
+
 @query("canonical_positions", f"WITH b AS (SELECT unnest(['A','C','G','T']) AS c), k AS (SELECT a.c || b.c || d.c || e.c AS kmer FROM b a, b b, b d, b e) SELECT row_number() OVER (ORDER BY kmer) - 1 AS idx, kmer FROM k WHERE kmer <= {_rc('kmer')}")
 def canonical_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.canonical_positions(spark, 4).select(F.col("idx").cast("long").alias("idx"), "kmer")
@@ -164,10 +176,10 @@ _WORDS = "list_transform(range(0, 4), lambda w: (list_sum(list_transform(range(1
 def packed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads in four words of two bits a base: the words, bases other than A, the same after 128 minus length plus 3 bases have left, bases that differ from the reverse complement, and the order of the two."""
     rows = _reads(spark, sf_dir).withColumns({"p": S.packed("seq"), "r": S.packed(S.reverse_complement("seq"))})
-    cut = S.nonzero_bases(S.packed_shift("p", 31))
+    cut = S.nonzero_bases(S.packed_shift("p", F.lit(131) - F.length("seq")))
     return rows.select(
         "doc_id", "i", *(F.col("p")[w].alias(f"w{w}") for w in range(4)), S.nonzero_bases("p").cast("long").alias("nonzero"),
-        F.when(F.length("seq") == 100, cut).otherwise(F.length(F.replace(F.expr("substring(seq, 4)"), F.lit("A"), F.lit("")))).cast("long").alias("shifted"),
+        cut.cast("long").alias("shifted"),
         S.nonzero_bases(S.packed_xor("p", "r")).cast("long").alias("differing"), S.packed_less("p", "r").alias("less"),
     )
 
@@ -509,6 +521,13 @@ def rank_vector_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.ranks(_dense(spark, sf_dir), ties="shared").withColumn("idx", F.col("idx").cast("long"))
 
 
+@query("rank_vector_swaps")
+def rank_vector_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``rank_vector``, ties in the order that the swaps of a selection sort leave them in."""
+    rows = profiles.vectors(_dense(spark, sf_dir), "n").select("cluster_id", F.posexplode(kmeans.swap_rank_array("v")).alias("idx", "rank"))
+    return rows.select("cluster_id", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"))
+
+
 # Distances and centres over embeddings in thousandths.
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
