@@ -207,8 +207,11 @@ def sample_texts(docs: DataFrame, rows_per_lang: int = 300, bytes_per_lang: int
     return out
 
 
-def train_languages(docs: DataFrame, rows_per_lang: int = 300) -> Models:
+def train_languages(docs: DataFrame, rows_per_lang: int = 300, needed: bool = True) -> Models:
+    """Models of the languages of ``docs`` (doc_id, text, lang). Without labelled texts this is an error, or, if they are not ``needed``, there are models of no language, by which every text is ``und``."""
     ship_package(docs.sparkSession)
+    if not needed and docs.where("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
+        return Models([], [], [], [], [], np.zeros(0))
     return fit_models(sample_texts(docs, rows_per_lang))
 
 
@@ -220,6 +223,8 @@ def identify_languages(docs: DataFrame, models: Models, key: str = "doc_id", rej
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     rows = docs.select(F.col(key).alias("doc_id"), F.col("text"))
+    if not models.langs:
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), *(F.lit(0.0).alias(c) for c in ("score", "bits_per_char")), F.lit(False).alias("rejected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -106,14 +106,16 @@ def uniform(key: Column) -> Column:
 
 
 def draw(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, temper: float = TEMPER, topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``docs`` with topic, tokens, probability and drawn."""
+    """``docs`` with topic, tokens, probability and drawn. Rows with one doc_id, or without an id and with one text, are drawn together."""
     rows = _keyed(docs, topic)
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = rows.groupBy(*keys).agg(F.sum("tokens").alias("n"))
     cells = checkpoint(probabilities(rake(cells, rounds, temper, targets), keep))
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     found = rows.join(side, keys, "left").withColumn("probability", F.coalesce("probability", F.lit(float(keep))))
-    return found.withColumn("drawn", uniform(F.col("doc_id")) < F.col("probability")).drop(*keys)
+    # a row without an id is drawn by its text, so not all of them stand or fall together
+    drawn_by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
+    return found.withColumn("drawn", uniform(drawn_by) < F.col("probability")).drop(*keys)
 
 
 def sample(docs: DataFrame, keep: float = KEEP, topic: Column | None = None) -> DataFrame:

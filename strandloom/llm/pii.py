@@ -233,9 +233,16 @@ def fit_trees(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 20,
     judged = [(model.score(dict(zip(FEATURES, x))), x, c, q) for x, c, q in (rows if held is None else sorted(held))]
     for kind in GENERATORS:
         own = sorted(((s, c, q) for s, x, c, q in judged if x[0] == (kind == "number")), reverse=True)
+        by_score: dict[float, list[int]] = {}
+        for s, c, q in own:  # a threshold takes all of one score or none
+            cell = by_score.setdefault(s, [0, 0])
+            cell[0] += c
+            cell[1] += q
         total = good = 0
-        for s, c, q in own:
+        for s, (c, q) in by_score.items():
             total, good = total + c, good + q
+            if not total:
+                continue
             share = good / total
             low = (share + 1.92 / total - 1.96 * math.sqrt(share * (1 - share) / total + 0.9604 / total**2)) / (1 + 3.8416 / total)
             if low >= precision:
