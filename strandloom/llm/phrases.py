@@ -271,6 +271,8 @@ def _frequent_pairs(corpus: DataFrame, filter_: Broadcast | None, least: int) ->
             for i in range(batch.num_rows):
                 left, right, n = (np.asarray(batch.column(c)[i].values) for c in ("left", "right", "n"))
                 kept = np.arange(len(left)) if filter_ is None else _kept(filter_, left, right)
+                if not len(kept):
+                    continue
                 bucket = (_counter(right[kept], left[kept], buckets) if buckets else np.zeros(len(kept), dtype=U64)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
