@@ -15,7 +15,8 @@ held-out labels, by the lower end of its confidence interval, selects redactions
 one nothing is added. Base spans always stay.
 
 The patterns are written so that their matching stays linear in the text: a failing
-run of characters is left as a whole. Positions are code points, ends exclusive. A
+run of characters is left as a whole. Spans are compared by their ranks among the sorted
+starts and ends of a text, so a text with n spans takes n log n. Positions are code points, ends exclusive. A
 null text counts as empty. ``redact`` keeps all columns; the other functions replace
 columns that have the names of their results.
 """
@@ -48,6 +49,8 @@ _NEEDS = {"email": "@", "phone": "+"}
 _SECRET_WORDS = r"(?i)(password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\x20\x22']*[=:]?[\x20\x22']*$"
 _NUMBER_WORDS = r"(?i)(tel|telefon|phone|call|mobile|fax|card|visa|account|konto|ssn|iban)[.:#\x20]*\+?[0-9]{0,2}[\x20]?$"
 _CHUNK = 64
+#: Code points in a piece of a text; what stands at a place is cut from its pieces, not from the whole text.
+_PIECE = 1024
 #: One text in so many calibrates the thresholds and is not fitted on.
 HELD = 3
 FEATURES = ("number", "digits", "length", "parens", "hyphen", "dot", "space", "letters", "upper", "hex", "word")
@@ -71,6 +74,45 @@ def _before(sizes: Column) -> Column:
     return _let(sizes, lambda s: _let(blocks(s), lambda k: _let(starts(k), lambda t: inside(s, t))))
 
 
+def _steps(n: Column) -> Column:
+    """Powers of two from the greatest within ``n`` down to one, none for an ``n`` of 0."""
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    return F.filter(powers, lambda p: p <= n)
+
+
+def _rank(ordered: Column, steps: Column, is_before: Callable[[Column], Column]) -> Column:
+    """How many elements of a sorted array are before a value, by halving."""
+    ahead = lambda at, step: F.coalesce(is_before(F.get(ordered, at + step - 1)), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+
+
+def _starts_before(x: Column) -> Column:
+    """Spans of a row of ``_ordered`` that start before ``x``."""
+    return _rank(F.col("_starts"), F.col("_steps"), lambda v: v < x)
+
+
+def _ends_by(x: Column) -> Column:
+    """Spans of a row of ``_ordered`` that end at ``x`` or before. They started before it too, so the rest of those that did are still open."""
+    return _rank(F.col("_ends"), F.col("_steps"), lambda v: v <= x)
+
+
+_SIDES = ("_starts", "_ends", "_steps", "_pieces")
+
+
+def _ordered(rows: DataFrame, spans: str, cut: Column) -> DataFrame:
+    """Adds the sorted starts and ends of a column of spans, steps to search them, and, where ``cut`` holds, the pieces of body."""
+    pieces = F.when(cut, F.regexp_extract_all("body", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    sides = (F.sort_array(F.col(spans)["start"]), F.sort_array(F.col(spans)["end"]), _steps(F.size(spans)), pieces)
+    return _fence(rows.withColumns(dict(zip(_SIDES, sides))))
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of body from its pieces, so that it takes as long as what is cut and not as what is before."""
+    block = lambda i: F.floor(i / _PIECE).cast("int")
+    near = F.array_join(F.slice("_pieces", block(start) + 1, block(F.greatest(end - 1, start)) - block(start) + 1), "")
+    return F.substring(near, start % _PIECE + 1, end - start)
+
+
 _SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
@@ -136,14 +178,14 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Adds ``proposed``: generated spans with features (small integers) and the weak label, to rows of ``base_spans``."""
     for kind in GENERATORS:
         rows = _with_matches(rows, kind).withColumn(kind, _valid_only(kind))
-    rows = rows.withColumn("_base", F.concat(*KINDS))
+    rows = _ordered(rows.withColumn("_base", F.concat(*KINDS)), "_base", F.greatest(*map(F.size, GENERATORS)) > 0)
 
     def describe(kind: str):
         def one(s: Column) -> Column:
             x = s["found"]
-            ahead = F.substring(F.col("body"), F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
+            ahead = _cut(F.greatest(s["start"] - 24, F.lit(0)), s["start"])
             n = F.length(_digits(x))
-            overlap = F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            overlap = _starts_before(s["end"]) > _ends_by(s["start"])
             flag = lambda c: c.cast("int")
             keyed = ahead.rlike(_SECRET_WORDS if kind == "secret" else _NUMBER_WORDS)
             label = keyed if kind == "secret" else overlap
@@ -166,7 +208,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
         return F.transform(kind, one)
 
-    return _fence(rows.withColumn("proposed", F.concat(*(describe(k) for k in GENERATORS))).drop("_base", *GENERATORS))
+    return _fence(rows.withColumn("proposed", F.concat(*(describe(k) for k in GENERATORS))).drop("_base", *_SIDES, *GENERATORS))
 
 
 @dataclass
@@ -286,27 +328,14 @@ def span_string(spans: Column) -> Column:
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with each span of text replaced by its kind in brackets; a null text stays null. Overlapping spans become one."""
     packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    rows = find_pii(packed, model).withColumn("_spans", F.array_sort(F.transform(span_list(added=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))),
-        )
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] < last["end"], joined).otherwise(F.concat(acc, F.array(s)))
-
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-    rows = rows.withColumn("_merged", F.when(F.size("_spans") > 0, F.aggregate("_spans", none, merge)))
-    piece = F.transform(
-        "_merged",
-        lambda s, i: F.concat(
-            F.substring("body", F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0))),
-            F.lit("["),
-            F.upper(s["kind"]),
-            F.lit("]"),
-        ),
-    )
-    whole = F.concat(F.array_join(piece, ""), F.substring("body", F.element_at("_merged", -1)["end"] + 1, F.length("body")))
-    redacted = F.when(F.size("_merged") > 0, whole).otherwise(F.col("text"))
+    spans = F.array_sort(F.transform(span_list(added=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = find_pii(packed, model).select("_row", "text", "body", spans.alias("_spans"))
+    rows = _ordered(rows, "_spans", F.size("_spans") > 0)
+    # A merged span opens at the first span of a start where all earlier ones have ended, and closes at an end that nothing open goes beyond.
+    opens = F.filter("_spans", lambda s, i: (F.coalesce(F.get("_starts", i - 1), F.lit(-1)) != s["start"]) & (_starts_before(s["start"]) == _ends_by(s["start"])))
+    closes = F.array_distinct(F.filter("_ends", lambda x: _starts_before(x) == _ends_by(x)))
+    rows = _fence(rows.withColumns({"_opens": opens, "_closes": closes}))
+    piece = lambda s, i: F.concat(_cut(F.coalesce(F.get("_closes", i - 1), F.lit(0)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    whole = F.concat(F.array_join(F.transform("_opens", piece), ""), _cut(F.element_at("_closes", -1), F.length("body")))
+    redacted = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
     return _fence(rows.select("_row", redacted.alias("_text"))).select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.{c}") for c in docs.columns))

@@ -1,8 +1,10 @@
 """Lexical search, collocations and line dedup against brute force and SQL, and on odd rows."""
 
+import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -232,3 +234,49 @@ def test_no_language_to_learn(spark):
     rows = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     models = language.train_languages(rows, needed=False)
     assert [(r.doc_id, r.lang_pred, r.score) for r in language.identify_languages(rows, models).orderBy("doc_id").collect()] == [(1, "und", 0.0), (2, "und", 0.0)]
+
+
+def test_pii_overlaps_and_merges_against_brute_force(spark):
+    rng = random.Random(6)
+    made = []
+    for i in range(60):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(0, 60) for _ in range(rng.randrange(0, 9)))]
+        made.append((i, sorted(spans), [(a, a + rng.randint(1, 9)) for a in range(0, 66, 3)]))
+    rows = spark.createDataFrame(made, "i int, s array<struct<start:int,end:int>>, q array<struct<start:int,end:int>>").withColumn("body", F.repeat(F.lit("x"), 90))
+    ordered = pii._ordered(rows, "s", F.lit(True)).withColumn("hit", F.transform("q", lambda q: pii._starts_before(q["end"]) > pii._ends_by(q["start"])))
+    for r in ordered.collect():
+        assert r.hit == [any(a < d and c < b for a, b in r.s) for c, d in r.q]
+
+
+def test_pii_redacts_overlapping_spans_as_one(spark):
+    """Base and added spans that overlap in any way give one bracket, named by the first by start, end and kind."""
+    rng = random.Random(7)
+    parts = ["+49 170 1234567", "4111 1111 1111 1111", "10.0.0.1", "a.b@c.de", "é" * 700, "\U0001d54f text ", " ", ",", "(030) 123 4567 89", "abcdef0123456789abcdef"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, "", None])], "doc_id long, text string, body string")
+    low = pii.Trees(bias=1.0, thresholds={"number": 0.0, "secret": 0.0})  # adds every candidate that meets no base span
+    found = {r.doc_id: r.s for r in pii.find_pii(df, low).select("doc_id", pii.span_list(added=True).alias("s")).collect()}
+    out = {r.doc_id: (r.text, r.body) for r in pii.redact(df, low).collect()}
+    for i, text in enumerate([*texts, "", None]):
+        merged = []
+        for start, end, kind in sorted((s.start, s.end, s.kind) for s in found[i]):
+            if merged and start < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end, kind])
+        want, at = [], 0
+        for start, end, kind in merged:
+            want += [text[at:start], f"[{kind.upper()}]"]
+            at = end
+        assert out[i] == (None if text is None else "".join(want) + text[at:], "x")
+
+
+def test_pii_takes_texts_with_many_spans(spark):
+    n = 25_000  # two spans each
+    df = spark.range(1).select("id", F.repeat(F.lit("tel +49 170 1234567, 123 456 78 90;\n"), n).alias("text"))
+    low = pii.Trees(bias=1.0, thresholds={"number": 0.0})
+    began = time.monotonic()
+    r = pii.redact(df, low).select(F.length("text").alias("n"), F.md5("text").alias("h")).first()
+    want = "tel [PHONE], [NUMBER];\n" * n
+    assert r.n == len(want) and r.h == hashlib.md5(want.encode()).hexdigest()
+    assert time.monotonic() - began < 60
