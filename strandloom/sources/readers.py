@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.operators.order import with_position
+from strandloom.sources import datasource
 
 CLUSTER_MARK = "cluster_start"
 
@@ -51,6 +52,16 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     return records.where("seq IS NOT NULL").select("record_no", F.substring("header", 2, 1 << 30).alias("header"), "seq", "qual")
 
 
+def sequences(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
+    """record_no, header, seq, qual of FASTA or FASTQ files, plain, gzip or in gzip blocks, by the data source ``sequences`` and with its options.
+
+    Plain files and files of gzip blocks are read in parts.
+    """
+    datasource.register(spark)
+    rows = spark.read.format(datasource.NAME).options(**options).load(path)
+    return with_position(rows, "record_no", "file", "part", "at", keep=["header", "seq", "qual"]).select("record_no", "header", "seq", "qual")
+
+
 def fastq_to_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTQ records with their running number as header."""
     return fastq(spark, path).select("record_no", F.col("record_no").cast("string").alias("header"), "seq")
