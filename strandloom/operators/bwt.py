@@ -164,6 +164,17 @@ def searchable(bwt: DataFrame, block: int = BLOCK) -> DataFrame:
     return letters.join(_before_blocks(rows), "block").select("block", "letters", "before", smaller.alias("smaller"))
 
 
+def _step_back(rows: DataFrame, index: DataFrame, block: int) -> DataFrame:
+    """``rows`` (letter, at) with rank: how many suffixes of the index are smaller than the letter before a suffix that ``at`` of them are smaller than."""
+    code = F.expr(f"locate(letter, '{SYMBOLS[1:]}')")
+    head = F.substring("letters", F.lit(1), (F.col("at") - F.col("block") * block).cast("int"))
+    inside = F.length(head) - F.length(F.replace(head, F.col("letter")))
+    rank = F.when(code > 0, F.get("smaller", code) + F.get("before", code) + inside).otherwise(0).cast("long")
+    # a position right behind the last letter of a block is looked up in that block
+    placed = rows.withColumn("block", F.floor(F.greatest(F.col("at") - 1, F.lit(0)) / block))
+    return placed.join(index, "block").select(*rows.columns, rank.alias("rank"))
+
+
 def find_patterns(index: DataFrame, patterns: DataFrame, block: int = BLOCK) -> DataFrame:
     """``patterns`` (pattern) with low and high: suffixes at positions low to high - 1 begin with the pattern; where none does, both are 0.
 
@@ -180,16 +191,40 @@ def find_patterns(index: DataFrame, patterns: DataFrame, block: int = BLOCK) ->
         letter = F.substring("pattern", F.length("pattern") - i, F.lit(1))
         live = rows.where((F.length("pattern") > i) & (F.col("low") < F.col("high")))
         ends = live.select("pattern", letter.alias("letter"), F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("low").alias("at")), F.struct(F.lit(1).alias("end"), F.col("high").alias("at")))).alias("e"))
-        # a position right behind the last letter of a block is looked up in that block
-        ends = ends.select("pattern", "letter", "e.end", "e.at", F.floor(F.greatest(F.col("e.at") - 1, F.lit(0)) / block).alias("block"))
-        code = F.expr(f"locate(letter, '{SYMBOLS[1:]}')")
-        head = F.substring("letters", F.lit(1), (F.col("at") - F.col("block") * block).cast("int"))
-        inside = F.length(head) - F.length(F.replace(head, F.col("letter")))
-        rank = F.when(code > 0, F.get("smaller", code) + F.get("before", code) + inside).otherwise(0).cast("long")
-        found = ends.join(index, "block").select("pattern", "end", rank.alias("rank"))
+        found = _step_back(ends.select("pattern", "letter", "e.end", "e.at"), index, block).select("pattern", "end", "rank")
         moved = found.groupBy("pattern").agg(F.max(F.when(F.col("end") == 0, F.col("rank"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("rank"))).alias("high"))
         last, path = path, scratch(index.sparkSession, "intervals")
         rows = written(rows.where((F.length("pattern") <= i) | (F.col("low") >= F.col("high"))).unionByName(moved), path)
         remove(index.sparkSession, last)
     some = F.col("low") < F.col("high")
     return rows.select("pattern", F.when(some, F.col("low")).otherwise(0).alias("low"), F.when(some, F.col("high")).otherwise(0).alias("high"))
+
+
+def insert(bwt: DataFrame, reads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """pos and ch of the transform of the old reads, of which ``bwt`` (pos, ch) is all that is needed, and ``reads`` together.
+
+    The read_ids of the new reads are above all old ones. All new reads go back letter by letter together
+    through the old transform, one join a letter, which tells for each new suffix how many old ones are before
+    it; the order among the new ones is sorted as in ``transform``. Then both are interleaved by one sort of
+    three numbers. No old suffix is compared again.
+    An index without rows gives the transform of ``reads``; reads with another letter than A, C, G, N, T are an error.
+    """
+    spark, root = bwt.sparkSession, scratch(bwt.sparkSession, "inserted")
+    index = written(searchable(bwt, block), scratch(spark, "index"))
+    first = index.select(F.get("smaller", F.lit(1)).alias("n")).first()
+    if first is None:
+        return transform(reads).select("pos", "ch")
+    foreign = F.length(F.translate("seq", SYMBOLS[1:], "")) > 0
+    known = F.when(foreign, F.raise_error(F.lit("a read has a letter that the index does not know"))).otherwise(F.col("seq"))
+    state = reads.select("read_id", known.alias("seq"), (F.length("seq") + 1).alias("p"), F.lit(first["n"]).cast("long").alias("at"))
+    paths = [f"{root}/0"]
+    state = written(state, paths[0])
+    while not (live := state.where("p > 1")).isEmpty():
+        letter = F.substring("seq", F.col("p") - 1, F.lit(1))
+        moved = _step_back(live.withColumn("letter", letter), index, block)
+        paths.append(f"{root}/{len(paths)}")
+        state = written(moved.select("read_id", F.expr("left(seq, p - 2)").alias("seq"), (F.col("p") - 1).alias("p"), F.col("rank").alias("at")), paths[-1])
+    before = spark.read.schema("read_id long, p int, at long").parquet(*paths)
+    new = suffix_ranks(reads).withColumn("p", F.col("p").cast("int")).join(before, ["read_id", "p"]).select(F.col("at").alias("place"), F.lit(0).alias("side"), "rank", "ch")
+    old = bwt.select(F.col("pos").alias("place"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("rank"), "ch")
+    return with_position(old.unionByName(new), "pos", "place", "side", "rank", keep=["ch"]).select("pos", "ch")

@@ -66,3 +66,22 @@ def test_no_reads(spark):
     assert bwt.transform(none).count() == 0
     index = bwt.searchable(bwt.transform(none))
     assert [tuple(r) for r in bwt.find_patterns(index, spark.createDataFrame([("A",)], "pattern string")).collect()] == [("A", 0, 0)]
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+def test_insert_equals_the_transform_of_both(spark, block):
+    reads = [s[:14] for s in genome(30, 60, 5, "ACN")] + ["", "A", "A", "AAAA"]
+    df = frame(spark, reads)
+    old, new = df.where("read_id < 14"), df.where("read_id >= 14")
+    got = bwt.insert(bwt.transform(old).select("pos", "ch"), new, block).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(len(got))) and "".join(r.ch for r in got) == "".join(c for c, _ in model(reads))
+
+
+def test_insert_of_and_into_nothing(spark):
+    df = frame(spark, ["ACG", "AC"])
+    none = df.where("read_id < 0")
+    want = "".join(c for c, _ in model(["ACG", "AC"]))
+    for old, new in ((none, df), (df, none)):
+        assert "".join(r.ch for r in bwt.insert(bwt.transform(old), new).orderBy("pos").collect()) == want
+    with pytest.raises(Exception, match="does not know"):
+        bwt.insert(bwt.transform(df), frame(spark, ["AXA"])).count()
