@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import distance as D
 from strandloom.functions import seq as S
-from strandloom.operators import bwt, filtering, grouping, kmeans, order, profiles
+from strandloom.operators import bwt, filtering, grouping, kmeans, order, profiles, traversal
 from strandloom.operators import kmers as K
 from strandloom.operators import reads as R
 from strandloom.runtime import checkpoint, scratch, ship_package, spread, table
@@ -689,6 +689,23 @@ def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.find_patterns(index, wanted).select("pattern", (F.col("high") - F.col("low")).alias("n"))
 
 
+# Texts are whole, so this has no twin.
+_NODES = f"""{WHOLE[READS]},
+u AS (SELECT DISTINCT seq FROM reads),
+sf AS (SELECT substr(seq, p) AS suffix FROM (SELECT seq, unnest(range(1, length(seq) + 2)) AS p FROM u)),
+nb AS (SELECT suffix, lag(suffix) OVER (ORDER BY suffix) AS before FROM sf),
+lc AS (SELECT suffix, len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda k: substr(suffix, 1, k) = substr(before, 1, k))) AS depth FROM nb WHERE before IS NOT NULL),
+w AS (SELECT DISTINCT depth, substr(suffix, 1, depth) AS word FROM lc),
+x AS (SELECT depth, substr(suffix, 1, depth) AS word FROM (SELECT suffix, unnest(range(0, length(suffix) + 1)) AS depth FROM sf))"""
+
+
+@query("right_maximal_strings", f"WITH {_NODES} SELECT word, depth, count(*) AS n FROM x JOIN w USING (depth, word) GROUP BY word, depth")
+def right_maximal_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every right-maximal string of the distinct reads of whole texts, of every length from 0 on."""
+    reads = R.with_read_ids(readers.reads_of_texts(_texts(spark, sf_dir)).select("seq").distinct())
+    return traversal.right_maximal_strings(reads).select("word", F.col("depth").cast("long").alias("depth"), "n")
+
+
 # Every query with SQL over reads, over the whole texts.
 for _name, _sql in list(_SQL.items()):
     for _cut, _all in WHOLE.items():
