@@ -1,6 +1,8 @@
 """Exact counts of hashes over all documents, without a row per hash.
 
-Documents are dealt to batches of a few megabytes by a hash of their row. Each
+Documents are dealt to batches of a few megabytes by a hash of their row. Repeats of one
+row share a batch, so they are put together before they are dealt: of all repeats in one Arrow batch of
+the input one row travels, with their number. Each
 batch sends its distinct hashes, sorted and delta-coded, cut by their leading
 bits into buckets; a bucket adds up the counts of all batches and answers each
 batch with one byte per hash (or with the repeated hashes themselves). A hash that
@@ -14,8 +16,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandloom.llm.textblocks import U64, pieces, release
 
@@ -35,11 +39,41 @@ def unpack(blob: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0)
+        if len(ids.unique()) == len(ids):
+            yield pa.record_batch([*batch.columns, pa.array(np.ones(len(ids), dtype=np.int64))], names=[*batch.schema.names, "copies"])
+            continue
+        names = batch.schema.names
+        table = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+        yield from table.select([*names, "count_all"]).rename_columns([*names, "copies"]).to_batches()
+
+
+def twice(group: pa.Table) -> pa.Table:
+    """A batch's rows, each once, and those once more that stand for several: what is repeated counts two, however its rows were put together."""
+    names = [c for c in group.column_names if c not in ("copies", "batch")]
+    rows = group.group_by([*names, "batch"], use_threads=False).aggregate([("copies", "sum")])
+    again = rows.filter(pc.greater(rows.column("copies_sum"), 1))
+    return pa.concat_tables([rows, again]) if again.num_rows else rows
+
+
+def each(df: DataFrame) -> DataFrame:
+    """``df`` with a row for each of its ``copies``."""
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy", "copies")
+
+
 def batched(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """``columns`` and text of ``docs`` with a batch number; and the bytes of all texts."""
+    """``columns`` and text of ``docs`` with copies and a batch number; and the bytes of all texts.
+
+    A row stands for as many equal rows as ``copies`` says. How repeats are put together depends on how
+    they arrive, so a row may still be there several times; all of them are in one batch.
+    """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-int(total) // BATCH_BYTES))
-    return docs.select(*columns, "text").withColumn("batch", F.pmod(F.xxhash64(*columns, "text"), F.lit(n)).cast("int")), int(total)
+    rows = docs.select(*columns, "text")
+    rows = rows.mapInArrow(_put_together, StructType([*rows.schema.fields, StructField("copies", LongType())]))
+    return rows.withColumn("batch", F.pmod(F.xxhash64(*columns, "text"), F.lit(n)).cast("int")), int(total)
 
 
 def bucket_bits(n_hashes: int) -> int:
@@ -116,10 +150,10 @@ def read_values(answer: pa.Table) -> np.ndarray:
 
 
 def send_hashes(docs: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray], bits: int, exact: bool = False) -> DataFrame:
-    """Each batch's distinct hashes with their counts; ``hashes_of`` gives all hashes of a batch's rows."""
+    """Each batch's distinct hashes with their counts; ``hashes_of`` gives all hashes of rows. A repeated row counts two."""
 
     def run(group: pa.Table) -> pa.Table:
-        values, _, counts = distinct(hashes_of(group), bits, exact)
+        values, _, counts = distinct(hashes_of(twice(group)), bits, exact)
         release()
         return pa.Table.from_batches([send(group.column("batch")[0].as_py(), values, counts, bits, exact)])
 

@@ -71,9 +71,10 @@ def _row(key: str) -> Column:
 
 
 def document_sets(docs: DataFrame, key: str, size: int, percent: int, tagged: bool = False) -> DataFrame:
-    """doc_id, (row, its tag,) n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch, typical (how often its shingles occur elsewhere)."""
+    """doc_id, (row, its tag,) copies (how many equal rows it stands for), n_shingles and, where the set may link: node (its hash), shared (hashes found elsewhere too), prefix (its rarest ones) and the first one's position, keys, sketch, typical (how often its shingles occur elsewhere)."""
     own = ["doc_id", "row"] if tagged else ["doc_id"]
     rows, total = hc.batched(docs.select(F.col(key).alias("doc_id"), "text", _row(key).alias("row")), own)
+    own = [*own, "copies"]
     bits = hc.bucket_bits(total // 6)
 
     def hashes(group: pa.Table) -> np.ndarray:
@@ -243,8 +244,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, key: s
     smallest = ids.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     whole = smallest.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = smallest.select("node", "component").join(whole, "component").select("node", "component_id")
-    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linking.select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = rows.where("node IS NULL").select("doc_id", "copies", "n_shingles", F.col("doc_id").alias("component_id"))
+    return hc.each(linking.select("doc_id", "copies", "n_shingles", "node").join(of_node, "node").select("doc_id", "copies", "n_shingles", "component_id").unionByName(alone))
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", keep_repeats: bool = True) -> DataFrame:
@@ -255,7 +256,7 @@ def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_
     is there with ``keep_repeats``, and once without.
     """
     rows, components = _linked(docs, size, percent, key, tagged=True)
-    linking = rows.where("node IS NOT NULL").groupBy("node", "doc_id", "row").agg(F.count(F.lit(1)).alias("m"))
+    linking = rows.where("node IS NOT NULL").groupBy("node", "doc_id", "row").agg(F.sum("copies").alias("m"))
     least = linking.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "m")).alias("least"))
     nodes = least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     best = nodes.groupBy("component").agg(F.min("least").alias("best"))

@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", with_
     def window_hashes(group: pa.Table, answer: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.Table.from_batches([hc.send(0, *[np.zeros(0, dtype=U64)] * 2, bits, True)])
-        found = _passages(group)
+        found = _passages(hc.twice(group))
         at = [p.anchors(length) for _, p in found]
         _, where, _ = hc.distinct(_joined([p.runs(a, length) for (_, p), a in zip(found, at)]), bits, False)
         again = hc.read_levels(answer)[where] > 0
@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", with_
 
     def removed(group: pa.Table, answer: pa.Table) -> pa.Table:
         again = hc.read_values(answer) if answer.num_rows else np.zeros(0, dtype=U64)
-        out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+        out: dict[str, list] = {"doc_id": [], "copies": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
         for part, p in _passages(group):
             at = np.flatnonzero(np.arange(p.n) + window <= p.end)
             starts = at[:0]
@@ -129,12 +129,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", with_
                 if with_text:
                     out["kept_text"].append(kept.decode())
             out["doc_id"].append(part.column("doc_id"))
+            out["copies"].append(part.column("copies"))
         release()
-        table = {"doc_id": pa.chunked_array(out["doc_id"], type=group.schema.field("doc_id").type), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
+        table = {"doc_id": pa.chunked_array(out["doc_id"], type=group.schema.field("doc_id").type), "copies": pa.chunked_array(out["copies"], type=pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.table(table | ({"kept_text": pa.array(out["kept_text"], pa.string())} if with_text else {}))
 
     by_batch = rows.groupBy("batch")
     anchors = hc.answers(hc.send_hashes(rows, anchor_hashes, bits), exact=False)
     windows = hc.answers(by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(window_hashes, hc.SENT), exact=True)
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return by_batch.cogroup(windows.groupBy("batch")).applyInArrow(removed, schema)
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, copies long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return hc.each(by_batch.cogroup(windows.groupBy("batch")).applyInArrow(removed, schema))
