@@ -5,7 +5,7 @@ from __future__ import annotations
 import resource
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import filtering, grouping, kmeans, profiles, reads
@@ -38,8 +38,8 @@ def preclusters(raw: DataFrame, config: Config) -> DataFrame:
     return reads.lookup(large, kept).join(ids, "group_id").select("cluster_id", F.col("read_id").alias("seq_no"), "seq")
 
 
-def cluster(pre: DataFrame, config: Config) -> DataFrame:
-    """final, cluster_id, seq_no, seq: preclusters joined by k-means on their profiles."""
+def cluster(pre: DataFrame, config: Config, watch: Observation | None = None) -> DataFrame:
+    """final, cluster_id, seq_no, seq: preclusters joined by k-means on their profiles. ``watch`` sees the assignment, a row for each precluster."""
     k = config.kmeans_kmer_length
     counted = profiles.by_covered_positions(pre, short_k=k) if config.run_metacluster else profiles.by_distinct_windows(pre, short_k=k)
     if config.run_metacluster:
@@ -50,22 +50,41 @@ def cluster(pre: DataFrame, config: Config) -> DataFrame:
         found = kmeans.adaptive(points)
     else:
         found = kmeans.kmeans(points, config.kmeans_number_of_clusters, config.kmeans_number_of_rounds).assignment
-    rows = pre.join(found.select(F.col("id").alias("cluster_id"), F.col("cluster").alias("final")), "cluster_id")
+    found = found.select(F.col("id").alias("cluster_id"), F.col("cluster").alias("final"))
+    if watch is not None:  # the set has at most as many numbers as k-means has clusters
+        found = checkpoint(found.observe(watch, F.count(F.lit(1)).alias("preclusters"), F.size(F.collect_set("final")).alias("clusters")))
+    rows = pre.join(found, "cluster_id")
     return rows.select("final", "cluster_id", "seq_no", "seq")
 
 
+def peak_memory(spark: SparkSession) -> dict[str, float]:
+    """The most memory in MB that was in use at once in each executor's JVM, on the heap and off it, as their heartbeats told; in a local session the driver is the executor.
+
+    Executors that were lost count, those that have told nothing yet (no stage has ended) do not.
+    """
+    executors, found = spark.sparkContext._jsc.sc().statusStore().executorList(False), {}
+    for i in range(executors.size()):
+        told = executors.apply(i).peakMemoryMetrics()
+        if told.isDefined():
+            found[executors.apply(i).id()] = sum(told.get().getMetricValue(m) for m in ("JVMHeapMemory", "JVMOffHeapMemory")) / 2**20
+    return found
+
+
 def timed_run(spark: SparkSession, config: Config) -> tuple[DataFrame, dict[str, float]]:
-    """``run``, written, with its statistics: clusters, sequences, seconds and the peak memory of driver and JVM in MB."""
+    """``run``, written, with its statistics: sequences, preclusters, clusters, seconds, and in MB the peak memory of the driver's Python and the highest one of a JVM.
+
+    The counts are observed while the result is written, so no job runs for them. Without sequences all are 0.
+    """
     began = time.monotonic()
-    final = checkpoint(run(spark, config))
-    counts = final.agg(F.count(F.lit(1)).alias("sequences"), F.countDistinct("final").alias("clusters"), F.countDistinct("cluster_id").alias("preclusters")).first().asDict()
-    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    groups, rows = Observation(), Observation()
+    final = checkpoint(run(spark, config, groups).observe(rows, F.count(F.lit(1)).alias("sequences")))
     peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
-    return final, counts | {"seconds": time.monotonic() - began, "driver_mb": peak, "jvm_mb": runtime.totalMemory() / 2**20}
+    jvm = max(peak_memory(spark).values(), default=0.0)
+    return final, rows.get | groups.get | {"seconds": time.monotonic() - began, "driver_mb": peak, "jvm_mb": jvm}
 
 
-def run(spark: SparkSession, config: Config) -> DataFrame:
-    """Read, cluster and, where the settings name places, write. Returns the final clusters."""
+def run(spark: SparkSession, config: Config, watch: Observation | None = None) -> DataFrame:
+    """Read, cluster and, where the settings name places, write. Returns the final clusters. ``watch`` as in ``cluster``."""
     if config.only_kmeans:
         pre = readers.clusters(spark, config.preclusters_out)
     else:
@@ -74,7 +93,7 @@ def run(spark: SparkSession, config: Config) -> DataFrame:
         pre = checkpoint(preclusters(readers.fasta(spark, config.input_reads, places=True), config))
         if config.preclusters_out:
             writers.clusters(pre, config.preclusters_out)
-    final = cluster(pre, config)
+    final = cluster(pre, config, watch)
     if config.final_clusters_out:
         writers.clusters(final.select(F.col("final").alias("cluster_id"), F.struct("cluster_id", "seq_no").alias("seq_no"), "seq"), config.final_clusters_out)
     return final
