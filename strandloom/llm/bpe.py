@@ -418,6 +418,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", with_ids
 
     ``vocabulary`` is the path of a tokenizers JSON file on the driver. It is read
     there and broadcast; a vocabulary does not grow with the data.
+    One row for each row of ``docs``, whatever its key, repeated rows included; no rows give no rows. A null text is
+    empty and has no tokens. Only ``key`` and ``text`` are read.
     """
     spark = docs.sparkSession
     ship_package(spark)

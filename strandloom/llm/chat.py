@@ -40,7 +40,11 @@ def unescape(x: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_spans and n_blocks of every conversation."""
+    """conv_id, formatted, loss_spans and n_blocks of every conversation.
+
+    Null roles and texts are empty; a null conv_id is one conversation. Rows of one turn go by role, then text, and repeated rows stay
+    repeated. No rows give no conversation. A conversation is one row of the result, however long it is. Other columns are not read.
+    """
     rows = turns.select(
         "conv_id",
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),

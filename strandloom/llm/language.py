@@ -219,6 +219,8 @@ def identify_languages(docs: DataFrame, models: Models, key: str = "doc_id", rej
     """key, lang_pred, score, bits_per_char and rejected; with ``reject`` a rejected text is ``und``.
 
     The models hold the n-grams of a bounded sample, so their broadcast is bounded.
+    One row for each row of ``docs``, whatever its key, repeated rows included; no rows give no rows. A null text and one
+    without letters is ``und`` with score 0. Of languages with equal entropy the first by name is chosen. Only ``key`` and ``text`` are read.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)

@@ -402,7 +402,10 @@ def media_columns(docs: DataFrame, column: str, key: str = "doc_id") -> DataFram
 
 
 def text_as_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes and the MPEG stream of each text's padded UTF-8 (null: empty)."""
+    """key, n_bytes and the MPEG stream of each text's padded UTF-8 (null: empty).
+
+    One row for each row of ``docs``, whatever its key, repeated rows included; equal texts have equal streams. Only ``key`` and ``text`` are read.
+    """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col("text"))
 

@@ -82,7 +82,11 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", with_text: bool = True) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 and (with_text) the kept words joined by one space."""
+    """key, n_words, n_removed, kept_sha256 and (with_text) the kept words joined by one space.
+
+    One row for each row of ``docs``, whatever its key; no rows give no rows. A null text has no words. The windows of
+    a repeated row start elsewhere too, so all its repeats lose them. Only ``key`` and ``text`` are read.
+    """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     ship_package(docs.sparkSession)

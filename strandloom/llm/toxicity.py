@@ -164,7 +164,11 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, m
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, key: str = "doc_id") -> DataFrame:
-    """key, score (0 to 1) and predicted (score >= 0.5) of every row. The machine's size is fixed by its parameters."""
+    """key, score (0 to 1) and predicted (score >= 0.5) of every row. The machine's size is fixed by its parameters.
+
+    One row for each row of ``docs``, whatever its key, repeated rows included; equal texts have equal scores, null and empty ones that of a text
+    without terms. No rows give no rows. Only ``key`` and ``text`` are read.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(F.col(key).alias("doc_id"), F.col("text"))
