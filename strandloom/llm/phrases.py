@@ -39,6 +39,8 @@ from strandloom.runtime import checkpoint, ship_package
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 8 << 20
+#: Chunks in a file of a level: a task decodes a file's rows together, so this bounds its memory however many chunks it has.
+CHUNKS_A_FILE = 2
 #: Bytes of a level's names that are broadcast at most; more are joined.
 NAMES_BYTES = 32 << 20
 #: Bits of the largest filter of counters (a bitmap of 32 MB), and of the counters that are added up in one group.
@@ -106,7 +108,7 @@ def _corpus(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"codes": pa.array([_packed(codes)], pa.binary()), "size": pa.array([len(codes)], pa.int32()), "lang": _lists(lang), "word": _lists(word), "n": _lists(pa.array(n, pa.int64()))})
 
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "codes binary, size int, lang array<string>, word array<string>, n array<long>")
-    return checkpoint(rows.withColumn("part", F.monotonically_increasing_id()))
+    return checkpoint(rows.withColumn("part", F.monotonically_increasing_id()), CHUNKS_A_FILE)
 
 
 @dataclass
@@ -189,7 +191,7 @@ def _next_level(corpus: DataFrame, frequent: DataFrame, filter_: Broadcast | Non
                     release()
                     yield pa.record_batch(made)
 
-        return checkpoint(corpus.select("part", "codes", "size", *keys).mapInArrow(run, _LEVEL))
+        return checkpoint(corpus.select("part", "codes", "size", *keys).mapInArrow(run, _LEVEL), CHUNKS_A_FILE)
 
     def joined(chunk: pa.Table, named: pa.Table) -> pa.Table:
         if not (chunk.num_rows and named.num_rows):
@@ -202,7 +204,7 @@ def _next_level(corpus: DataFrame, frequent: DataFrame, filter_: Broadcast | Non
         return pa.table(made)
 
     rows = _grams(corpus, filter_, *keys).join(frequent.select(*keys, "id"), list(keys)).select("chunk", "code", "id")
-    return checkpoint(corpus.select("part", "codes", "size").groupBy("part").cogroup(rows.groupBy("chunk")).applyInArrow(joined, _LEVEL))
+    return checkpoint(corpus.select("part", "codes", "size").groupBy("part").cogroup(rows.groupBy("chunk")).applyInArrow(joined, _LEVEL), CHUNKS_A_FILE)
 
 
 def _counter(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:

@@ -280,3 +280,11 @@ def test_pii_takes_texts_with_many_spans(spark):
     want = "tel [PHONE], [NUMBER];\n" * n
     assert r.n == len(want) and r.h == hashlib.md5(want.encode()).hexdigest()
     assert time.monotonic() - began < 60
+
+
+def test_chunks_of_a_level_lie_in_small_files(spark, docs, monkeypatch):
+    """A task decodes a file's rows together, so files hold few chunks however many a task made."""
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 2000)
+    corpus = phrases._corpus(docs.coalesce(1))
+    most = corpus.groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0]
+    assert corpus.count() > phrases.CHUNKS_A_FILE >= most
