@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandloom.functions import seq as S
-from strandloom.operators import filtering, packed
+from strandloom.operators import filtering, grouping, packed
 from strandloom.operators import kmers as K
 
 
@@ -60,3 +60,10 @@ def test_turned_and_unmixed(spark):
         words = packed.strings(own, k).to_pylist()
         assert words[0] == "ACGTTGCATTACGGATCAACGTAGGTACT"[:k]
         assert packed.strings(back, k).to_pylist() == [r.x for r in spark.createDataFrame([(w,) for w in words], "w string").select(S.reverse_complement("w").alias("x")).collect()]
+
+
+@pytest.mark.parametrize(("k", "both"), [(6, True), (28, False), (36, False), (36, True), (45, True)])
+def test_stars_equal_rows(reads, monkeypatch, k, both):
+    got = rows(grouping.star_edges(reads, k, both))
+    monkeypatch.setattr(packed, "LONGEST", 0)
+    assert got == rows(grouping.star_edges(reads, k, both)) and got
