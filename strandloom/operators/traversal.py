@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.runtime import checkpoint, ship_package
+from strandloom.runtime import checkpoint, scratch, ship_package, written
 
 #: Letters compared at once: rows of a batch times the longest of them.
 CELLS = 1 << 24
+#: Rounds of sorting, and suffixes from which on there are more than one.
+PHASES, PHASE_SUFFIXES = 8, 1 << 21
 #: Above every common prefix: the least one of a range with a single suffix.
 NONE = (1 << 31) - 1
 
@@ -153,6 +155,25 @@ def _follow(touching: DataFrame, ranges: list) -> DataFrame:
     return touching.mapInArrow(run, "depth int, word string, first long, until long, cut_first boolean, cut_until boolean")
 
 
+def _ranges_found(suffixes: DataFrame) -> DataFrame:
+    """What ``_stretches`` finds in ranges of all suffixes. Ranges are sorted in up to ``PHASES`` rounds, and only a round's suffixes are on disk at a time."""
+    n = suffixes.count()
+    phases = min(PHASES, 1 + n // PHASE_SUFFIXES)
+    some = suffixes.where(F.pmod(F.xxhash64("read_id", "suffix"), F.lit(max(1, n // 1000))) == 0) if phases > 1 else suffixes.limit(0)
+    heads = sorted(r["suffix"] for r in some.select("suffix").collect())  # about a thousand
+    cuts = sorted({heads[i * len(heads) // phases] for i in range(1, phases)} - {""}) if heads else []
+    path = scratch(suffixes.sparkSession, "ranges")
+    paths = []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        inside = suffixes if low is None else suffixes.where(F.col("suffix") >= low)
+        inside = inside if high is None else inside.where(F.col("suffix") < high)
+        ranged = inside.repartitionByRange("suffix", "read_id").sortWithinPartitions("suffix", "read_id")
+        part = (F.spark_partition_id() + F.lit(i << 20)).alias("part")
+        paths.append(f"{path}/{i}")
+        written(ranged.select(part, "suffix").mapInArrow(_stretches, _FOUND), paths[-1])
+    return suffixes.sparkSession.read.schema(_FOUND).parquet(*paths)
+
+
 def right_maximal_strings(reads: DataFrame) -> DataFrame:
     """word, depth (its length), pos (its first suffix in the order of ``bwt.transform``), n (its occurrences) of every right-maximal string.
 
@@ -160,9 +181,9 @@ def right_maximal_strings(reads: DataFrame) -> DataFrame:
     string is among the results where there are two suffixes or more. Equal reads are as many occurrences. No reads give no rows.
     """
     ship_package(reads.sparkSession)
-    suffixes = reads.where("seq IS NOT NULL").select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") + 1)).alias("p")).select("read_id", F.expr("substring(seq, p)").alias("suffix"))
-    ranged = suffixes.repartitionByRange("suffix", "read_id").sortWithinPartitions("suffix", "read_id")
-    found = checkpoint(ranged.select(F.spark_partition_id().alias("part"), "suffix").mapInArrow(_stretches, _FOUND))
+    reads = checkpoint(reads.where("seq IS NOT NULL").select("read_id", "seq"))
+    suffixes = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") + 1)).alias("p")).select("read_id", F.expr("substring(seq, p)").alias("suffix"))
+    found = _ranges_found(suffixes)
     parts = found.where("size IS NOT NULL").withColumn("least", F.coalesce(F.get("fall", F.size("fall") - 1), F.lit(NONE)))
     order = Window.orderBy("part")  # over one row a range
     ranges = parts.select("part", "size", "least", "head", F.lag("tail").over(order).alias("before")).mapInArrow(_borders, "part int, size long, least int, shared int")

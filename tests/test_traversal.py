@@ -72,3 +72,12 @@ def test_common_prefixes_in_slices(monkeypatch):
         monkeypatch.setattr(traversal, "CELLS", cells)
         assert common_prefixes(words).tolist() == want
     assert common_prefixes([b""]).tolist() == []
+
+
+@pytest.mark.parametrize("case", [0, 1, 2])
+def test_rounds_of_sorting_find_the_same(spark, monkeypatch, case):
+    monkeypatch.setattr(traversal, "PHASE_SUFFIXES", 20)
+    written, paths = traversal.written, []
+    monkeypatch.setattr(traversal, "written", lambda df, path: paths.append(path) or written(df, path))
+    assert found(right_maximal_strings(frame(spark, CASES[case]))) == model(CASES[case])
+    assert len(paths) > 1  # only a part of the suffixes is sent at a time
