@@ -67,3 +67,82 @@ def test_stars_equal_rows(reads, monkeypatch, k, both):
     got = rows(grouping.star_edges(reads, k, both))
     monkeypatch.setattr(packed, "LONGEST", 0)
     assert got == rows(grouping.star_edges(reads, k, both)) and got
+
+
+def row_of(seqs):
+    codes = packed.CODE[list("".join(seqs).encode())]
+    return {"reads": len(seqs), "n": len(codes), "letters": packed.pack(codes), "sizes": packed.pack(packed.np.array([len(x) for x in seqs], dtype=packed.np.uint32)), "part": 0}
+
+
+def turned(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+@pytest.mark.parametrize("k", [1, 3, 16, 26])
+@pytest.mark.parametrize("strands", [False, True])
+def test_large_chunks_in_pieces(monkeypatch, k, strands):
+    """Places and sorted values worked on by pieces that cut reads and buckets anywhere, and added up over two chunks, against plain counting."""
+    monkeypatch.setattr(packed, "PIECE", 7)
+    rng = random.Random(k)
+    genome = "".join(rng.choice("ACGT") for _ in range(60)) + "ACGTACGTACGT" + "A" * 30
+    halves = [["", *(genome[i : i + rng.randrange(0, 40)] for i in (rng.randrange(100) for _ in range(30))), "ACGNACGNACGA", "A"] for _ in range(2)]
+    want = {}
+    for s in halves[0] + halves[1]:
+        for p in range(len(s) - k + 1):
+            w, after, before = s[p : p + k], "$ACGTN".index(s[p + k] if p + k < len(s) else "$"), "$ACGTN".index(s[p - 1] if p else "$")
+            if "N" in w:
+                continue
+            other = strands and turned(w) < w
+            n = want.setdefault(turned(w) if other else w, [0, 0, 0, 0])
+            before = (0, 4, 3, 2, 1, 5)[before] if strands else before
+            n[other] += 1
+            n[2] |= 1 << (before if other else after)
+            n[3] |= 1 << (after if other else before)
+    for masks in (False, True):
+        bits = min(3, 2 * k)
+        sent = [packed._blobs(packed._Chunk(row_of(h), k, strands).values(masks), k, bits, strands, masks) for h in halves]
+        got = {}
+        for bucket in range(1 << bits):
+            rows = [(x["n"][i], x["blob"][i]) for x in sent for i, b in enumerate(x["bucket"]) if b == bucket]
+            if rows:
+                group = packed.pa.table({"bucket": [bucket] * len(rows), "n": [n for n, _ in rows], "blob": packed.pa.array([b for _, b in rows], packed.pa.binary())})
+                _, _, _, number, *more = packed._added(group, k, bits, strands, masks)
+                got |= dict(zip(packed.strings(number, k).to_pylist(), map(list, zip(*(x.tolist() for x in more)))))
+        assert got == {w: n if masks else [*n[:2], 0, 0] for w, n in want.items()}
+    chunk = packed._Chunk(row_of(halves[0]), k, strands)
+    words = packed._heads(chunk.values(False) >> packed.U64(7))
+    keys = (chunk.values(False) >> packed.U64(7))[words]
+    flags = packed.np.arange(len(keys)) % 3 == 0
+    flagged = set(packed.strings(packed.unmixed(keys[flags], k), k).to_pylist())
+    holds = [any(w in flagged or (strands and turned(w) in flagged) for w in (s[p : p + k] for p in range(len(s) - k + 1))) for s in halves[0]]
+    assert chunk.holding(flags).tolist() == [i for i, x in enumerate(holds) if x]
+
+
+def test_holding_without_room_for_reads_in_the_number():
+    """28 letters and the number of one of 300 reads have more than 64 bits."""
+    rng = random.Random(7)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(300)]
+    chunk = packed._Chunk(row_of(seqs), 28, False)
+    value = chunk.values(False) >> packed.U64(7)
+    flags = value == packed.mixed(packed.numbers(packed.CODE[list(seqs[123].encode())], 28, False)[0], 28)[1]
+    assert chunk.holding(flags).tolist() == [123]
+
+
+def test_rows_sent_do_not_grow_with_the_square(spark, monkeypatch):
+    """Four chunks of the usual size are one chunk of a tally, and its buckets are twice as large."""
+    batch = packed.pa.record_batch({"seq": ["ACGTACGTAC" * 10] * 160})
+    monkeypatch.setattr(packed, "CHUNK_LETTERS", 1000)
+    assert [len(list(packed._pieces(iter([batch]), times=t))) for t in (1, packed.CHUNK_TIMES)] == [16, 4]
+    monkeypatch.setattr(packed, "BUCKET_KEYS", 250)
+    chunks = packed.chunked(spark.createDataFrame([("ACGTTGCAAC" * 10,)] * 160, "seq string").coalesce(1), times=packed.CHUNK_TIMES)
+    assert packed._sent(chunks, 16, False, False)[1] == 5
+
+
+def test_letters_and_planes_come_back():
+    rng = packed.np.random.default_rng(6)
+    for k in (1, 8, 15, 16, 28, 32):
+        x = rng.integers(0, 1 << 2 * k, 50, dtype=packed.np.uint64)
+        assert packed.strings(x, k).to_pylist() == ["".join("ACGT"[v >> 2 * (k - 1 - j) & 3] for j in range(k)) for v in x.tolist()]
+    arrays = [packed.np.array(v, t) for v, t in (([0, 1 << 40, 7], "<u8"), ([-5, 3, -(1 << 50)], "<i8"), ([1, 1 << 24, 2], "<u4"), ([9, 0, 255], "u1"))]
+    back = packed.unpack(packed.pack(*arrays), 3, "<u8", "<i8", "<u4", "u1")
+    assert [x.tolist() for x in back] == [x.tolist() for x in arrays]
