@@ -42,8 +42,8 @@ def submaximal_components(reads: DataFrame, k: int) -> DataFrame:
 
 def strand_kmer_pairs(reads: DataFrame, k: int) -> DataFrame:
     """Distinct k-mers that occur on both strands, with their occurrences; own reverse complements are left out."""
-    pairs = K.strand_pairs(reads, k, lambda n, m, first, second, own: ~own & (n > 0) & (m > 0), masks=False).where("NOT own AND n_fwd > 0 AND n_rev > 0")
-    return pairs.select("kmer", S.reverse_complement("kmer").alias("rc"), F.col("n_fwd").alias("n"), F.col("n_rev").alias("n_rc"))
+    pairs = K.strand_pairs(reads, k, lambda n, m, first, second, own: ~own & (n > 0) & (m > 0), masks=False, turned=True).where("NOT own AND n_fwd > 0 AND n_rev > 0")
+    return pairs.select("kmer", "rc", F.col("n_fwd").alias("n"), F.col("n_rev").alias("n_rc"))
 
 
 def components(reads: DataFrame, k: int, both_strands: bool = False, mates: DataFrame | None = None) -> DataFrame:

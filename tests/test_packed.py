@@ -146,3 +146,13 @@ def test_letters_and_planes_come_back():
     arrays = [packed.np.array(v, t) for v, t in (([0, 1 << 40, 7], "<u8"), ([-5, 3, -(1 << 50)], "<i8"), ([1, 1 << 24, 2], "<u4"), ([9, 0, 255], "u1"))]
     back = packed.unpack(packed.pack(*arrays), 3, "<u8", "<i8", "<u4", "u1")
     assert [x.tolist() for x in back] == [x.tolist() for x in arrays]
+
+
+def test_turned_forms_are_made_with_the_numbers(reads):
+    """rc comes with a tally's rows, and from rows where a k-mer holds another letter; the plan turns no string for plain reads."""
+    plain = reads.where("seq NOT LIKE '%N%'")
+    for source in (plain, reads):
+        found = K.strand_pairs(source, 4, turned=True)
+        assert [r for r in found.select("kmer", "rc").collect() if r.rc != turned(r.kmer)] == []
+    assert "translate" not in grouping.strand_kmer_pairs(plain, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in K.right_maximal_both(plain, 4)._jdf.queryExecution().optimizedPlan().toString()
