@@ -138,6 +138,31 @@ def test_rows_sent_do_not_grow_with_the_square(spark, monkeypatch):
     assert packed._sent(chunks, 16, False, False)[1] == 5
 
 
+@pytest.mark.parametrize(("k", "fan"), [(3, 1), (16, 1), (16, 3), (28, 2)])
+def test_more_buckets_than_a_chunk_sends_to(reads, monkeypatch, k, fan):
+    """Units of a bucket are added up and sent on to its parts, in up to four steps; filters are answered the same way back."""
+    of = [K.canonical_counts, K.neighbourhoods, K.right_maximal, K.left_maximal, K.strand_pairs, lambda r, k: filtering.frequent_forward(r, k, 2), lambda r, k: filtering.frequent_both(r, k, 2)]
+    monkeypatch.setattr(packed, "CHUNK_LETTERS", 20)
+    monkeypatch.setattr(packed, "FAN_BITS", fan)
+    plain = reads.where("seq NOT LIKE '%N%'")
+    chunks = packed.chunked(plain, "read_id", times=packed.CHUNK_TIMES)
+    sent, bits = packed._sent(chunks, k, False, True)
+    assert bits == fan < packed._goal(chunks, k) and sent.count() <= chunks.rows.count() << fan
+    got = [rows(f(plain, k)) for f in of]
+    monkeypatch.setattr(packed, "MOST", 0)
+    assert got == [rows(f(plain, k)) for f in of]
+
+
+def test_counts_of_units_have_room():
+    """What units send on may be more than 32 bits hold."""
+    kinds = packed._kinds(16, 3, True, False, wide=True)
+    key, n = packed.np.array([1 << 28, 5 << 28], dtype=packed.U64), packed.np.array([1 << 33, 7])
+    buckets, sizes, blobs = zip(*packed._rows(key, [n, n + 1], kinds, 0, 8, packed.U64(29)))
+    assert (buckets, sizes) == ((0, 2), (1, 1))
+    group = packed.pa.table({"bucket": [0, 0], "n": [1, 1], "blob": packed.pa.array([blobs[0]] * 2, packed.pa.binary())})
+    assert [x.tolist() for x in packed._added(group, 16, 3, True, False, wide=True)[4:6]] == [[1 << 34], [(1 << 34) + 2]]
+
+
 def test_letters_and_planes_come_back():
     rng = packed.np.random.default_rng(6)
     for k in (1, 8, 15, 16, 28, 32):
