@@ -9,24 +9,28 @@ by the least common prefix of each, three numbers a range, and end by a lookup i
 A string that a third of all suffixes begin with is spread over as many ranges as it needs.
 
 The ends of reads are all different, as everywhere here: a string that ends two reads is right-maximal.
-Suffixes are sorted as strings, which grows with the square of a read's length.
+Suffixes of reads of up to ``suffixes.LONGEST`` letters over A, C, G, T are sorted as packed words (``suffixes``), and a range is worked on as arrays.
+Others, and few suffixes, are sorted as strings, which grows with the square of a read's length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators import bwt, packed, suffixes
 from strandloom.runtime import checkpoint, scratch, ship_package, written
 
 #: Letters compared at once: rows of a batch times the longest of them.
 CELLS = 1 << 24
 #: Rounds of sorting, and suffixes from which on there are more than one.
 PHASES, PHASE_SUFFIXES = 8, 1 << 21
+#: Suffixes from which on packed words are sorted where they can be; fewer are sorted as strings.
+PACKED = 1 << 16
 #: Above every common prefix: the least one of a range with a single suffix.
 NONE = (1 << 31) - 1
 
@@ -89,6 +93,92 @@ _SCHEMA = pa.schema(
 )
 
 
+def _shared(words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """How many letters each suffix shares with the one before; as many entries as suffixes but one."""
+    out = np.full(max(0, len(size) - 1), 32 * len(words), dtype=np.int64)
+    for j in range(len(words) - 1, -1, -1):
+        x = words[j][1:] ^ words[j][:-1]
+        at = np.flatnonzero(x)
+        x = x[at]
+        top = ((x & ~(x >> np.uint64(1))).astype(np.float64).view(np.int64) >> 52) - 1023  # no rounding goes beyond the leading bit
+        out[at] = 32 * j + (63 - top) // 2
+    return np.minimum(out, np.minimum(size[1:], size[:-1]))
+
+
+def _nested(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, depth) of the stretches of suffixes that share ``depth`` letters, as ``shared`` tells of neighbours; by falling depth.
+
+    From the deepest on, neighbours of one depth that nothing lower parts are a stretch, and go.
+    """
+    n = len(shared) + 1
+    value = np.concatenate([[-1], shared, [-1]])
+    before, after = np.arange(-1, n), np.arange(1, n + 2)
+    order = np.argsort((shared.max(initial=0) - shared).astype(np.uint16), kind="stable") + 1
+    begins, ends, depths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+        if len(at):
+            depth = value[at[0]]
+            begin, end = before[at], after[at]
+            begin, end = begin[value[begin] < depth], end[value[end] < depth]
+            after[begin], before[end] = end, begin
+            begins.append(begin)
+            ends.append(end)
+            depths.append(np.full(len(begin), depth))
+    return np.concatenate(begins), np.concatenate(ends), np.concatenate(depths)
+
+
+def _letters(words: list[np.ndarray], at: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The first ``depth`` letters of suffixes, as bytes one after the other."""
+    parts = [np.zeros(0, dtype=np.uint8)]
+    for a in range(0, len(at), packed.PIECE // 4):
+        some, d = at[a : a + packed.PIECE // 4], depth[a : a + packed.PIECE // 4]
+        wide = range(int(d.max(initial=0)) // 32 + 1)
+        cells = np.concatenate([packed.letters(words[j][some], 32) for j in wide if j < len(words)], axis=1)
+        parts.append(cells[np.arange(cells.shape[1]) < d[:, None]])
+    return np.concatenate(parts)
+
+
+_BLOCK = pa.schema([*(f for f in _SCHEMA if f.name not in ("at", "n", "depth", "word")), ("found", pa.int64()), ("letters", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
+_BLOCKS = f"part int, {_RANGE}, found long, letters long, numbers binary, words binary"
+
+
+def _block(part: int, words: list[np.ndarray], size: np.ndarray, *_: np.ndarray) -> dict:
+    """What ``_Range`` and ``_stretches`` find in a range, from its sorted suffixes."""
+    size = size.astype(np.int64)
+    shared = _shared(words, size)
+    begin, end, depth = _nested(shared)
+    head, tail = (_letters(words, np.array([i]), size[[i]]).tobytes().decode() for i in (0, -1))
+    least = np.minimum.accumulate(shared)
+    falls = np.flatnonzero(np.diff(least, prepend=NONE))
+    last = np.flatnonzero(end == len(size))[::-1]  # depths rise
+    inside = np.flatnonzero((begin > 0) & (end < len(size)))
+    at, n, deep = begin[inside], (end - begin)[inside], depth[inside]
+    text = _letters(words, at, deep)
+    return {
+        "part": part, "head": head, "tail": tail, "size": len(size), "fall_at": falls + 1, "fall": least[falls], "open_at": begin[last], "open": depth[last],
+        "found": len(at), "letters": len(text), "numbers": packed.pack(at.astype("<u4"), n.astype("<u4"), deep.astype(np.uint8)), "words": pa.compress(text, codec="zstd", asbytes=True),
+    }
+
+
+def _expanded(found: DataFrame, places: DataFrame) -> DataFrame:
+    """word, depth, pos, n of the stretches inside ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                at, n, depth = packed.unpack(row["numbers"], row["found"], "<u4", "<u4", "u1")
+                text = pa.decompress(row["words"], row["letters"], codec="zstd")
+                off = np.concatenate([[0], np.cumsum(depth, dtype=np.int64)])
+                for a in range(0, len(at), suffixes.BATCH):
+                    b = min(a + suffixes.BATCH, len(at))
+                    word = pa.StringArray.from_buffers(b - a, pa.py_buffer((off[a : b + 1] - off[a]).astype(np.int32)), text.slice(int(off[a]), int(off[b] - off[a])))
+                    yield pa.record_batch([word, pa.array(depth[a:b].astype(np.int32)), pa.array(at[a:b].astype(np.int64) + row["start"]), pa.array(n[a:b].astype(np.int64))], names=["word", "depth", "pos", "n"])
+                packed.release()
+
+    return found.join(places, "part").select("start", "found", "letters", "numbers", "words").mapInArrow(run, "word string, depth int, pos long, n long")
+
+
 def _batch(n: int, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
@@ -182,17 +272,28 @@ def right_maximal_strings(reads: DataFrame) -> DataFrame:
     """
     ship_package(reads.sparkSession)
     reads = checkpoint(reads.where("seq IS NOT NULL").select("read_id", "seq"))
-    suffixes = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") + 1)).alias("p")).select("read_id", F.expr("substring(seq, p)").alias("suffix"))
-    found = _ranges_found(suffixes)
+    longest = bwt.packed_length(reads, PACKED)
+    if longest is not None:
+        found = suffixes.sorted_buckets(reads, longest, _block, _BLOCK, _BLOCKS)
+        if found is None:
+            return reads.sparkSession.createDataFrame([], "word string, depth int, pos long, n long")
+        return _placed(found, _expanded)
+    rows = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") + 1)).alias("p")).select("read_id", F.expr("substring(seq, p)").alias("suffix"))
+    found = _ranges_found(rows)
+    if found.where("size IS NOT NULL").isEmpty():
+        return found.select("word", "depth", F.col("at").alias("pos"), "n")
+    return _placed(found, lambda found, places: found.where("word IS NOT NULL").join(places, "part").select("word", "depth", (F.col("start") + F.col("at")).alias("pos"), "n"))
+
+
+def _placed(found: DataFrame, within: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """word, depth, pos, n of the stretches in ranges, from ``within`` and the places of ranges, and of those over borders."""
     parts = found.where("size IS NOT NULL").withColumn("least", F.coalesce(F.get("fall", F.size("fall") - 1), F.lit(NONE)))
     order = Window.orderBy("part")  # over one row a range
     ranges = parts.select("part", "size", "least", "head", F.lag("tail").over(order).alias("before")).mapInArrow(_borders, "part int, size long, least int, shared int")
     ranges = sorted(ranges.collect(), key=lambda r: r["part"])  # four numbers a range
-    if not ranges:
-        return found.select("word", "depth", F.col("at").alias("pos"), "n")
     starts = np.cumsum([0, *(r["size"] for r in ranges)]).tolist()
     numbers = [(r["part"], i, start, r["shared"]) for i, (r, start) in enumerate(zip(ranges, starts))]
-    places = F.broadcast(reads.sparkSession.createDataFrame(numbers, "part int, i long, start long, shared int"))
+    places = F.broadcast(found.sparkSession.createDataFrame(numbers, "part int, i long, start long, shared int"))
     placed = parts.join(places, "part")
 
     def from_border(side: int, text: str, depths: Column) -> DataFrame:
@@ -209,5 +310,4 @@ def right_maximal_strings(reads: DataFrame) -> DataFrame:
     pos = F.col("_start") + F.when(F.col("cut_first"), 0).otherwise(inside)
     until = F.col("_end") + F.when(F.col("cut_until"), F.col("_size")).otherwise(stop)
     over = followed.select("word", "depth", pos.alias("pos"), (until - pos).alias("n")).dropDuplicates(["depth", "pos"])
-    within = found.where("word IS NOT NULL").join(places, "part").select("word", "depth", (F.col("start") + F.col("at")).alias("pos"), "n")
-    return within.unionByName(over)
+    return within(found, places).unionByName(over)

@@ -3,9 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from strandloom.operators import traversal
+from strandloom.operators import packed, suffixes, traversal
 from strandloom.operators.traversal import common_prefixes, right_maximal_strings
 
 
@@ -81,3 +82,25 @@ def test_rounds_of_sorting_find_the_same(spark, monkeypatch, case):
     monkeypatch.setattr(traversal, "written", lambda df, path: paths.append(path) or written(df, path))
     assert found(right_maximal_strings(frame(spark, CASES[case]))) == model(CASES[case])
     assert len(paths) > 1  # only a part of the suffixes is sent at a time
+
+
+@pytest.mark.parametrize("bucket", [20, 300, 1 << 20])
+@pytest.mark.parametrize("case", [0, 1, 2, 3, 4, 5, 6])
+def test_packed_words_find_the_same(spark, monkeypatch, case, bucket):
+    monkeypatch.setattr(traversal, "PACKED", 0)
+    monkeypatch.setattr(packed, "CHUNK_LETTERS", 200)
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    monkeypatch.setattr(traversal, "_ranges_found", None)  # no suffix is sorted as a string
+    assert found(right_maximal_strings(frame(spark, CASES[case]).repartition(3))) == model(CASES[case])
+
+
+def test_order_of_packed_suffixes(monkeypatch):
+    """Ties of the leading bits go by the next ones, by the ends of suffixes and at last by place."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2, (4000, 96)).astype(np.uint8)
+    codes[:, 20:] = 0  # long ties
+    codes[:2000, 90] = rng.integers(0, 4, 2000)
+    size = rng.choice([3, 19, 40, 91, 96], 4000).astype(np.uint8)
+    codes[np.arange(96) >= size[:, None]] = 0
+    words = [sum(codes[:, 32 * j + i].astype(np.uint64) << np.uint64(62 - 2 * i) for i in range(32)) for j in range(3)]
+    assert suffixes._order(words, size).tolist() == np.lexsort([size, *words[::-1]]).tolist()
