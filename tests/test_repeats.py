@@ -73,3 +73,22 @@ def test_order_of_pairs(monkeypatch):
         assert packed._pair_order(low, high, 61).tolist() == np.lexsort((high, low)).tolist()
     none = np.zeros(0, dtype=np.uint64)
     assert packed._pair_order(none, none, 61).tolist() == []
+
+
+@pytest.mark.parametrize("far", [20, 28, 29, 45])
+def test_letters_between_far_repeats_are_compared(spark, monkeypatch, far):
+    """Submaximal repeats come from one entry a chunk and k-mer, also where many letters lie between."""
+    rng = random.Random(far)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    one, two, gap = letters(8), letters(8), letters(far - 8)
+    seqs = [letters(rng.randrange(5)) + one + (gap if i % 4 else letters(far - 8)) + two + letters(3) for i in range(12)]
+    seqs += [letters(4) + two[1:] + letters(far - 7) + one for _ in range(4)]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string").repartition(3)
+    monkeypatch.setattr(packed, "CHUNK_LETTERS", 120)
+    monkeypatch.setattr(packed, "BUCKET_KEYS", 200)
+    with monkeypatch.context() as by_rows:
+        by_rows.setattr(packed, "LONGEST", 0)
+        want = [sorted(map(tuple, kmers.submaximal(f, 8).collect())) for f in (rows, rows.where("read_id % 4 > 0"))]
+    monkeypatch.setattr(packed, "repeats", None)  # no row for an occurrence
+    assert [sorted(map(tuple, kmers.submaximal(f, 8).collect())) for f in (rows, rows.where("read_id % 4 > 0"))] == want
+    assert want[0] and want[0] != want[1]
